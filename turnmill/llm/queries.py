@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import load
-from . import conversations, overlaps
+from . import containers, conversations, mixing, overlaps, shared_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,13 @@ def queries() -> dict[str, Query]:
         "p4_found": _p4(conversations.dropped),
         "p4_conversations": _p4(conversations.rebuild_conversations),
         "p5_found": _p5_found,
+        "p7_containers": lambda spark, d: containers.fill_containers(load(spark, d, "documents"), load(spark, d, "container_specs")),
+        "p7_summary": lambda spark, d: containers.fill_summary(load(spark, d, "documents"), load(spark, d, "container_specs")),
+        "p8_mix": lambda spark, d: mixing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[0],
+        "p8_report": lambda spark, d: mixing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1],
+        "p9_found": lambda spark, d: shared_spans.found(load(spark, d, "documents")),
+        "p9_passages": lambda spark, d: shared_spans.shared_passages(load(spark, d, "documents")),
+        "p9_report": lambda spark, d: shared_spans.shared_report(load(spark, d, "documents")),
         "p5_report": lambda spark, d: overlaps.overlap_report(load(spark, d, "instruction_pairs")),
     }
 
