@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import load
-from . import containers, conversations, mixing, overlaps, shared_spans
+from . import containers, conversations, mixing, overlaps, pairs, shared_spans, speech
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def _p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda spark, d: pairs.broken_pairs(load(spark, d, "instruction_pairs")),
+        "p1_report": lambda spark, d: pairs.defect_report(load(spark, d, "instruction_pairs")),
+        "p2_found": lambda spark, d: speech.speaker_turns(load(spark, d, "call_records")).select("row_id", "turn_no", "speaker"),
+        "p2_turns": lambda spark, d: speech.speaker_turns(load(spark, d, "call_records")),
+        "p2_report": lambda spark, d: speech.turn_report(load(spark, d, "call_records")),
         "p4_found": _p4(conversations.dropped),
         "p4_conversations": _p4(conversations.rebuild_conversations),
         "p5_found": _p5_found,
