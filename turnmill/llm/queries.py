@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import load
-from . import containers, conversations, mixing, overlaps, pairs, shared_spans, speech
+from . import containers, conversations, mixing, overlaps, pairs, pii, shared_spans, speech
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,8 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda spark, d: speech.speaker_turns(load(spark, d, "call_records")).select("row_id", "turn_no", "speaker"),
         "p2_turns": lambda spark, d: speech.speaker_turns(load(spark, d, "call_records")),
         "p2_report": lambda spark, d: speech.turn_report(load(spark, d, "call_records")),
+        "p3_found": lambda spark, d: pii.mentions(load(spark, d, "call_records"), load(spark, d, "instruction_pairs")).select("field", "row_id", "item_pos", "start_pos", "entity"),
+        "p3_redacted": lambda spark, d: pii.redacted(load(spark, d, "call_records"), load(spark, d, "instruction_pairs")),
         "p4_found": _p4(conversations.dropped),
         "p4_conversations": _p4(conversations.rebuild_conversations),
         "p5_found": _p5_found,
