@@ -47,6 +47,8 @@ def source_sizes(share: dict[str, float], most: dict[str, float], total: float)
 
 def rake(cells: pd.DataFrame, sizes: dict[str, float], rounds: int = ROUNDS) -> np.ndarray:
     """Uses per document of each cell (its weight over its tokens), from cells with source, language, topic, tokens, most."""
+    if not len(cells):
+        return np.zeros(0)
     tokens = cells["tokens"].to_numpy(float)
     cap = tokens * cells["most"].to_numpy(float)
     total = sum(sizes.values())

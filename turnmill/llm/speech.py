@@ -98,9 +98,9 @@ def cluster_labels(keys: list[str]) -> dict[str, str]:
     def one(a: str, b: str) -> bool:
         if _ANON.match(a) or _ANON.match(b):
             return re.sub(r"[\s_-]", "", a) == re.sub(r"[\s_-]", "", b)
-        if a in ROLES and b in ROLES:
-            return ROLES[a] == ROLES[b] and (a.startswith(b) or b.startswith(a))
         short, long_ = sorted((a, b), key=len)
+        if a in ROLES and b in ROLES:
+            return ROLES[a] == ROLES[b] and (long_.startswith(short) or " " in long_ and initials(long_) == short)
         return (len(short) > 1 and " " in long_ and initials(long_) == short) or (len(short) >= 3 and long_.startswith(short)) or similarity(a, b) >= SIMILAR
 
     for i, a in enumerate(names):
