@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 
 #: Levels of nodes under nodes; the model has three.
 MAX_DEPTH = 6
+NODES = "array<struct<parent:string,id:string,node:variant>>"
 NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def _kind(v: Column) -> Column:
-    return F.substring(F.schema_of_variant(v), 1, 5)
+def _object(v: Column) -> Column:
+    """Whether a variant is an object; schema_of_variant would walk all that lies in it."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def _list(v: Column) -> Column:
     """A variant as array<variant>: a list as it is, one object as a list of it, else none."""
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(_kind(v) == "OBJEC", F.array(v)), F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(_object(v), F.array(v)), F.array().cast("array<variant>"))
 
 
 def _text(v: Column, path: str) -> Column:
@@ -40,13 +42,12 @@ def _is_number(v: Column, path: str) -> Column:
 
 def parsed(payload: Column) -> Column:
     """The payload as VARIANT; JSON within a JSON string is parsed again; null where it can't be read."""
-    v = F.try_parse_json(payload)
-    return F.when(_kind(v) == "STRIN", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    return F.try_parse_json(F.when(F.ltrim(payload).startswith('"'), F.try_variant_get(F.try_parse_json(payload), "$", "string")).otherwise(payload))
 
 
 def _records(v: Column) -> Column:
     """The objects of a payload: itself, or those of a list."""
-    return F.filter(_list(v), lambda x: _kind(x) == "OBJEC")
+    return F.filter(_list(v), _object)
 
 
 def dialogue_items(dialogues: DataFrame) -> DataFrame:
@@ -55,13 +56,13 @@ def dialogue_items(dialogues: DataFrame) -> DataFrame:
     A list keeps the positions of its nulls, but they give no row; a lone object is at 0. Unreadable, null and empty
     payloads give none. Each delivered row gives its own items. dialogue_id may be null and then stays null.
     """
-    d = dialogues.select("dialogue_id", parsed(F.col("payload")).alias("v"))
+    d = dialogues.select("dialogue_id", parsed(F.col("payload")).alias("v")).select("dialogue_id", _records(F.col("v")).alias("records"))
 
     def items(rec: Column, name: str) -> Column:
         return F.transform(_list(_get(rec, f"$.{name}")), lambda x, i: F.struct(i.cast("long").alias("position"), x.alias("item")))
 
-    at = F.flatten(F.transform(_records(F.col("v")), lambda r: F.concat(items(r, "turns"), items(r, "utterances"))))
-    return (d.select("dialogue_id", F.inline(F.filter(at, lambda x: x["item"].isNotNull() & (F.coalesce(_kind(x["item"]), F.lit("VOID")) != "VOID"))))
+    at = F.flatten(F.transform("records", lambda r: F.concat(items(r, "turns"), items(r, "utterances"))))
+    return (d.select("dialogue_id", F.inline(F.filter(at, lambda x: x["item"].isNotNull() & ~F.is_variant_null(x["item"]))))
             .select(F.col("dialogue_id").alias("record_id"), F.col("dialogue_id").alias("parent_key"), "position", "item"))
 
 
@@ -85,25 +86,32 @@ def utterances(dialogues: DataFrame) -> DataFrame:
 
 
 def _taxonomy_nodes(snapshots: DataFrame) -> DataFrame:
-    """taxonomy_id and nodes: array of struct(parent, id, node) over all levels."""
+    """taxonomy_id and nodes: array of struct(parent, id, node) of a topmost node and all levels below it."""
     t = snapshots.select("taxonomy_id", parsed(F.col("payload")).alias("v"))
-    bodies = F.transform(_records(F.col("v")), lambda r: F.coalesce(_get(r, "$.data.taxonomy"), _get(r, "$.taxonomy"), r))
+    # a row per record, then per topmost node: what is parsed and read is not computed again for the levels below
+    t = t.select("taxonomy_id", F.explode(_records(F.col("v"))).alias("r"))
+    body = F.coalesce(_get(F.col("r"), "$.data.taxonomy"), _get(F.col("r"), "$.taxonomy"), F.col("r"))
 
     def entry(x: Column, key: Column, above: Column) -> Column:
         return F.struct(F.coalesce(_text(x, "$.parent_id"), above).alias("parent"), F.coalesce(_text(x, "$.intent_id"), key).alias("id"), x.alias("node"))
 
-    def members(v: Column, above: Column) -> Column:
-        """Nodes of a list, of a lone node, or of an object whose keys are their ids."""
+    def members(holder: Column, path: str, above: Column) -> Column:
+        """Nodes of a list, of a lone node, or of an object whose keys are their ids; each part is bound, so read once."""
         none = F.lit(None).cast("string")
-        keyed = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: entry(e["value"], e["key"], above))
-        listed = F.transform(_list(v), lambda x: entry(x, none, above))
-        # an object with intent_id is one node
-        return F.filter(F.when((_kind(v) == "OBJEC") & _get(v, "$.intent_id").isNull(), keyed).otherwise(listed), lambda n: _kind(n["node"]) == "OBJEC")
 
-    level = t.select("taxonomy_id", F.flatten(F.transform(bodies, lambda b: members(_get(b, "$.nodes"), F.lit(None).cast("string")))).alias("l0"))
+        def of(v: Column) -> Column:
+            listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: entry(x, none, above))
+            one = F.array(entry(v, none, above))
+            keyed = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: entry(e["value"], e["key"], above))
+            return F.coalesce(listed, F.when(_get(v, "$.intent_id").isNotNull(), one), keyed, F.array().cast(NODES))
+
+        bound = F.transform(F.filter(F.array(_get(holder, path)), lambda v: v.isNotNull()), of)
+        return F.filter(F.flatten(bound), lambda n: _object(n["node"]))
+
+    level = t.select("taxonomy_id", F.explode(members(body, "$.nodes", F.lit(None).cast("string"))).alias("top")).select("taxonomy_id", F.array("top").alias("l0"))
     for d in range(1, MAX_DEPTH):
-        level = level.withColumn(f"l{d}", F.flatten(F.transform(F.coalesce(f"l{d - 1}", F.array().cast(level.schema["l0"].dataType)), lambda n: members(_get(n["node"], "$.children"), n["id"]))))
-    every = F.flatten(F.array(*[F.coalesce(f"l{d}", F.array().cast(level.schema["l0"].dataType)) for d in range(MAX_DEPTH)]))
+        level = level.withColumn(f"l{d}", F.flatten(F.transform(f"l{d - 1}", lambda n: members(n["node"], "$.children", n["id"]))))
+    every = F.flatten(F.array(*[F.coalesce(f"l{d}", F.array().cast(NODES)) for d in range(MAX_DEPTH)]))
     return level.select("taxonomy_id", F.filter(every, lambda n: n["id"].isNotNull()).alias("nodes"))
 
 
