@@ -71,6 +71,10 @@ v AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # every window of 200 characters by its hash
+        "p9_found": """
+WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: hash(substr(text, i, 200)))) AS h FROM documents WHERE length(text) >= 200)
+SELECT DISTINCT doc_id FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1)""",
         "p4_found": _MESSAGES + "SELECT conversation_id, defect FROM v WHERE defect IS NOT NULL",
         "p4_conversations": _MESSAGES + """
 SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY start, role <> 'ivr', text, message_id) - 1 AS position,
