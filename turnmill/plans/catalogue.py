@@ -445,10 +445,35 @@ def _(e):
     return evals.confusions(e.withColumn("predicted", (F.col("vec_id") % 10).cast("int")), "label", "predicted")
 
 
-@query("a21_digest", "call_records", sql="SELECT source, substr(sha256(source || array_to_string(list_sort(list_distinct(list(id))), ',')), 1, 16) AS digest FROM call_records WHERE id IS NOT NULL GROUP BY 1")
+@query("a21_digest", "call_records", sql="SELECT source, count(*) AS ids, (sum(('0x' || substr(sha256(id), 1, 12))::BIGINT) % 1000000007)::BIGINT AS digest FROM (SELECT DISTINCT source, id FROM call_records WHERE id IS NOT NULL) GROUP BY 1")
 def _(c):
-    # a row per id first, then the digest of the ids' own digests would differ: the reference order is the sorted list
-    return c.where(F.col("id").isNotNull()).groupBy("source").agg(F.substring(F.sha2(F.concat("source", F.array_join(F.sort_array(F.collect_set("id")), ",")), 256), 1, 16).alias("digest"))
+    # a digest of the set of ids that needs no sorted list in one place: the sum of their hashes
+    ids = c.where(F.col("id").isNotNull()).select("source", "id").distinct()
+    h = F.conv(F.substring(F.sha2("id", 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return ids.groupBy("source").agg(F.count("*").alias("ids"), F.pmod(F.sum(h), F.lit(1000000007)).cast("long").alias("digest"))
+
+
+@query("t3_worst_labels", "embeddings", sql="SELECT label, total, exact, accuracy FROM (SELECT label, count(*) AS total, count(*) FILTER (label = vec_id % 10) AS exact, round_even(count(*) FILTER (label = vec_id % 10) / count(*), 4) AS accuracy FROM embeddings GROUP BY 1) ORDER BY accuracy, total DESC, label LIMIT 3")
+def _(e):
+    return evals.per_label(e.withColumn("predicted", (F.col("vec_id") % 10).cast("int")), "label", "predicted").orderBy("accuracy", F.desc("total"), "label").limit(3)
+
+
+@query("a27_order_latency", "orders", "lineitem", sql="""
+WITH x AS (SELECT o_orderpriority AS stage, date_diff('day', o_orderdate, l_shipdate) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT stage, count(days) AS n, quantile_disc(days, 0.5)::DOUBLE AS p50, quantile_disc(days, 0.95)::DOUBLE AS p95, quantile_disc(days, 0.99)::DOUBLE AS p99, max(days) AS largest FROM x GROUP BY 1""")
+def _(o, li):
+    x = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderpriority").alias("stage"), F.date_diff("l_shipdate", "o_orderdate").cast("long").alias("days"))
+    return evals.latency(x, "stage", "days")
+
+
+@query("s24_dialogue_sizes", "dialogues", sql=_JSON_SQL + "SELECT dialogue_id AS record_id, count(*) AS items, max(pos)::BIGINT AS last_position FROM d6 WHERE item IS NOT NULL AND json_type(item) <> 'NULL' GROUP BY 1")
+def _(d):
+    return nested.dialogue_items(d).groupBy("record_id").agg(F.count("*").alias("items"), F.max("position").alias("last_position"))
+
+
+@query("c11_unknown_keys", "events", sql="SELECT k, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events WHERE json_valid(props)) WHERE k NOT IN ('page', 'ref') GROUP BY 1")
+def _(e):
+    return e.select(F.explode(F.array_except(F.json_object_keys("props"), F.array(F.lit("page"), F.lit("ref")))).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
 # --- ordered, top-k, sets -------------------------------------------------------------------------------------------------------------
