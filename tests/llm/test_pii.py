@@ -98,3 +98,13 @@ def test_placeholders_and_empty(spark):
     assert pii.placeholders(t, [(0, 6, "email"), (8, 14, "email"), (19, 25, "email")]) == "[EMAIL_1], [EMAIL_1] and [EMAIL_2]"
     r, p = tables(spark)
     assert pii.mentions(r.limit(0), p.limit(0)).count() == 0
+
+
+def test_words_frequent_in_the_sample_hide_no_mention(spark):
+    first, last = ["Velia", "Kemel", "Padoc", "Ilsel", "Rudon", "Tamsel"], ["Walaby", "Norock", "Feneby", "Toldan", "Marwick", "Ostely"]
+    rows = [(i, f"Agent: Right, Mr {last[i % 6]}, one moment.\nCaller: I was charged twice on order {i}.", None, None, "x") for i in range(60)]
+    ins = [(i, f"hello, my name is {first[i % 6]} Orrister and i was charged twice", 1) for i in range(60)]
+    model = pii.fit(spark.createDataFrame(rows, C), spark.createDataFrame(ins, I), epochs=60)
+    recs = spark.createDataFrame([(1, "Agent: Right, Mr Orrister, one moment.", None, None, "x")], C)
+    got = {(r["start_pos"], r["end_pos"], r["entity"]) for r in pii.mentions(recs, spark.createDataFrame([], I), model).collect()}
+    assert got == {(17, 25, "person")}

@@ -30,8 +30,6 @@ WINDOW, OVERLAP = 160, 64
 #: Added to the score of every beginning span: what is found too much, the exact check refuses.
 BIAS = 3.5
 HIDDEN, EPOCHS = 16, 6
-#: A word is plain if the sample has it this often and never where a span begins.
-PLAIN_WORDS = 3
 
 _CUT = re.compile(r"(?<=[^\W_][^\W_][.?!])\s+|[\r\n]+|\s\|\s|;\s|\s/\s")
 
@@ -100,58 +98,16 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
     return sorted(out)
 
 
-def _bare(w: str) -> str:
-    """A word without marks after it; the dot of an initial stays."""
-    return w.rstrip(",;:!?") if len(w) == 2 else w.rstrip(".,;:!?")
-
-
-def words_of(window: str) -> list[tuple[str, int, int]]:
-    """(word, start, end): digits as 0, without marks after it; a word with digits goes with the next one."""
-    w = [(_bare(m[0]), m.start(), m.end()) for m in re.finditer(r"\S+", window.translate(_ZEROS))]
-    return [(x if "0" not in x else f"{x} {w[i + 1][0] if i + 1 < len(w) else ''}", a, e) for i, (x, a, e) in enumerate(w)]
-
-
-class PlainWords:
-    """Tells windows whose words all are plain; what a word is like is worked out once per task."""
-
-    KEEP = 500_000
-
-    def __init__(self, plain: frozenset[str]) -> None:
-        self.plain = plain | {""}
-        self.seen: dict[str, tuple[str, bool, bool]] = {}
-
-    def all(self, masked: str) -> bool:
-        """Whether every word of a window, its digits 0 already, is plain; the same words as words_of."""
-        ws = masked.split()
-        for i, w in enumerate(ws):
-            x = self.seen.get(w)
-            if x is None:
-                if len(self.seen) > self.KEEP:
-                    self.seen = {}
-                bare = _bare(w)
-                x = self.seen[w] = (bare, "0" in bare, bare in self.plain)
-            if x[1]:
-                if f"{x[0]} {_bare(ws[i + 1]) if i + 1 < len(ws) else ''}" not in self.plain:
-                    return False
-            elif not x[2]:
-                return False
-        return True
-
-
 _ZEROS = str.maketrans("123456789", "000000000")
 
 
 class Finder:
-    """Finds mentions with a model; keeps the decoded windows of a task (bounded) for equal ones.
-
-    Windows of plain words alone are known to hold nothing and are not decoded.
-    """
+    """Finds mentions with a model; every different window is decoded, those of a task are kept (bounded) for equal ones."""
 
     KEEP = 200_000
 
-    def __init__(self, model: Tagger, plain: frozenset[str]) -> None:
+    def __init__(self, model: Tagger) -> None:
         self.model = model
-        self.plain = PlainWords(plain)
         self.known: dict[str, tuple] = {}
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -164,10 +120,7 @@ class Finder:
             keys.append(ks)
             for k in ks:
                 if k not in self.known and k not in new:
-                    if self.plain.all(k):
-                        self.known[k] = ()
-                    else:
-                        new[k] = encode(k)
+                    new[k] = encode(k)
         names = list(new)
         for k, tags in zip(names, self.model.decode([new[k] for k in names], BIAS)):
             self.known[k] = tuple(spans_of(tags)) if tags.any() else ()
@@ -226,14 +179,12 @@ def _fields(records: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
     return out.where(F.col("row_id").isNotNull() & (F.length("text") > 0)).select("field", F.col("row_id").cast("long").alias("row_id"), "item_pos", "text")
 
 
-def labelled(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], frozenset[str]]:
-    """Training windows and tags, each different one once, and the plain words of the sample.
+def labelled(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Training windows and tags, each different one once.
 
     Every window with spans comes as it is and in lower case, as some transcripts are; those without, PLAIN per one with.
     """
     with_, plain, seen = [], [], set()
-    begins: set[str] = set()
-    count: dict[str, int] = {}
     for t in texts:
         for a, e in windows(t):
             w = t[a:e]
@@ -242,12 +193,6 @@ def labelled(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], froz
                 continue
             seen.add(key)
             spans = label_spans(w)
-            at = [b for b, _, _ in spans]
-            for x, b, c in words_of(w):
-                if any(b <= k < c for k in at):
-                    begins.add(x)
-                else:
-                    count[x] = count.get(x, 0) + 1
             if spans:
                 with_ += [(encode(v), tags_of(len(w), spans)) for v in ({w, w.lower()} if len(w.lower()) == len(w) else {w})]
             else:
@@ -255,31 +200,30 @@ def labelled(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], froz
     plain.sort(key=lambda p: (zlib.crc32(p[0].encode()), p[0]))
     with_.sort(key=lambda p: p[0].tobytes())
     rows = with_ + [(encode(w), np.zeros(len(w), np.int64)) for _, w in plain[: int(PLAIN * len(with_)) + 50]]
-    words = frozenset(w for w, n in count.items() if n >= PLAIN_WORDS and w not in begins)
-    return [x for x, _ in rows], [y for _, y in rows], words
+    return [x for x, _ in rows], [y for _, y in rows]
 
 
-def fit(records: DataFrame, pairs: DataFrame, rows: dict[str, int] | None = None, epochs: int = EPOCHS) -> tuple[dict[str, np.ndarray], frozenset[str]]:
-    """Parameters and plain words of a bounded sample: `rows` of each table, the smallest by a hash of row_id."""
+def fit(records: DataFrame, pairs: DataFrame, rows: dict[str, int] | None = None, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
+    """Parameters fitted to a bounded sample: `rows` of each table, the smallest by a hash of row_id."""
     sample = []
     for df, only, name in ((records.select("row_id", "transcript", "notes", "turns"), 0, "records"), (pairs.select("row_id", "instruction"), 1, "pairs")):
         part = df.where(F.col("row_id").isNotNull()).orderBy(F.xxhash64("row_id"), "row_id").limit((rows or TRAIN_ROWS)[name])
         sample += [r["text"] for r in _fields(None if only else part, part if only else None).orderBy("row_id", "field", "item_pos").collect()]
-    x, y, words = labelled(sample)
-    return train(x, y, hidden=HIDDEN, epochs=epochs).p, words
+    x, y = labelled(sample)
+    return train(x, y, hidden=HIDDEN, epochs=epochs).p
 
 
-def mentions(records: DataFrame, pairs: DataFrame, model: tuple | None = None) -> DataFrame:
+def mentions(records: DataFrame, pairs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
     """field, row_id, item_pos, start_pos, end_pos (code points, end excluded), entity of every mention.
 
     Whole texts of all rows are read. Null items and texts have none; rows without row_id are left out; each delivered
     row counts by itself. Without any row the model finds nothing.
     """
-    p, words = model or fit(records, pairs)
+    p = model or fit(records, pairs)
     schema = "field string, row_id long, item_pos long, start_pos long, end_pos long, entity string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(Tagger(p), words)
+        finder = Finder(Tagger(p))
         for b in batches:
             out = []
             for f, r, i, spans in zip(b["field"].tolist(), b["row_id"].tolist(), b["item_pos"].tolist(), finder.find(b["text"].tolist())):
@@ -302,12 +246,12 @@ def placeholders(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def redacted(records: DataFrame, pairs: DataFrame, model: tuple | None = None) -> DataFrame:
+def redacted(records: DataFrame, pairs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
     """field, row_id, item_pos, text, mentions: every text with placeholders for its mentions, nothing else changed."""
-    p, words = model or fit(records, pairs)
+    p = model or fit(records, pairs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(Tagger(p), words)
+        finder = Finder(Tagger(p))
         for b in batches:
             found = finder.find(b["text"].tolist())
             b["text"] = [placeholders(t, s) for t, s in zip(b["text"], found)]
