@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import validators
 from turnmill.operators import redaction as R
+from turnmill.plans import catalogue
 
 
 def run(spark, rows):
@@ -51,3 +52,18 @@ def test_detokenize_and_empty(spark):
     df = spark.createDataFrame([("hi [EMAIL_1] [PHONE_9]", {"[EMAIL_1]": "a@y.co"})], "t string, v map<string,string>")
     assert df.select(R.detokenize(F.col("t"), F.col("v"))).first()[0] == "hi a@y.co [PHONE_9]"
     assert run(spark, []).count() == 0
+
+
+def test_queries_read_turns_transcript_and_notes(spark, tmp_path):
+    rows = [
+        (1, [("a", "mail a@y.co"), None, ("b", "num 1234567890123456 x")], None, "from A@y.co or b@y.co"),
+        (2, None, "call +1 312 555 0144", None), (3, None, None, None), (4, [("a", None)], None, "num 1234567890123456 x"),
+    ]
+    spark.createDataFrame(rows, "row_id long, turns array<struct<speaker:string,text:string>>, transcript string, notes string").write.parquet(f"{tmp_path}/call_records.parquet")
+    q = {n: catalogue.queries()[n](spark, str(tmp_path)).collect() for n in ("r9_redacted_notes", "r18_entity_counts", "r20_record_verdicts", "r1_text_counts")}
+    texts = {(r["record"], r["turn"]): r["text"] for r in q["r9_redacted_notes"]}
+    assert texts == {(1, 0): "mail [EMAIL_1]", (1, 1): None, (1, 2): "", (1, 4): "from [EMAIL_1] or [EMAIL_2]", (2, 0): "call [PHONE_1]", (3, 0): None, (4, 0): None, (4, 2): ""}
+    verdicts = {r["record"]: (r["turns"], r["quarantined"], r["reason"], r["entities"]) for r in q["r20_record_verdicts"]}
+    assert verdicts == {1: (4, True, "dirty:long_digit_run", 3), 2: (1, False, None, 1), 3: (1, False, None, 0), 4: (2, True, "dirty:long_digit_run", 0)}
+    assert {r["entity"]: r["n"] for r in q["r18_entity_counts"]} == {"email": 3, "phone": 1}
+    assert {(r["record"], r["turn"]): r["emails"] for r in q["r1_text_counts"]} == {(1, 0): 1, (1, 2): 0, (1, 4): 2, (2, 0): 0, (4, 2): 0}

@@ -261,8 +261,17 @@ def _(d):
 
 # --- redaction ----------------------------------------------------------------------------------------------------------------------
 
-def _notes(c: DataFrame) -> DataFrame:
-    return c.where(F.col("notes").isNotNull()).select(F.col("row_id").alias("record"), F.lit(0).alias("turn"), F.col("notes").alias("text"))
+def _texts(c: DataFrame) -> DataFrame:
+    """record, turn, text of all texts of a record: its turns by position (null items hold theirs), then transcript, then notes.
+
+    With k turns the transcript is turn k and the notes are turn k + 1; a null transcript or notes gives no row. A record without
+    any text has one row of null text, so it gets its verdict too.
+    """
+    k = F.when(F.col("turns").isNotNull(), F.size("turns")).otherwise(0)
+    items = F.transform("turns", lambda t, i: F.struct(i.cast("int").alias("turn"), t["text"].alias("text")))
+    ends = F.filter(F.array(F.struct(k.cast("int").alias("turn"), F.col("transcript").alias("text")), F.struct((k + 1).cast("int").alias("turn"), F.col("notes").alias("text"))), lambda x: x["text"].isNotNull())
+    d = c.select(F.col("row_id").alias("record"), F.inline_outer(F.concat(F.coalesce(items, F.array().cast("array<struct<turn:int,text:string>>")), ends)))
+    return d.select("record", F.coalesce("turn", F.lit(0)).alias("turn"), "text")
 
 
 @query("r1_email_spans", "call_records", sql="""
@@ -280,19 +289,30 @@ def _(c):
     return c.where(F.col("notes").isNotNull()).select("row_id", F.size(redaction.pattern_spans(F.col("notes"), p)).alias("phones"))
 
 
+@query("r1_text_counts", "call_records", sql="""
+WITH t AS (SELECT row_id, generate_subscripts(turns, 1) - 1 AS turn, unnest(list_transform(turns, lambda x: x.text)) AS text FROM call_records
+UNION ALL SELECT row_id, coalesce(len(turns), 0), transcript FROM call_records
+UNION ALL SELECT row_id, coalesce(len(turns), 0) + 1, notes FROM call_records)
+SELECT row_id AS record, turn, len(regexp_extract_all(text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}\\b')) AS emails, len(regexp_extract_all(text, '\\b\\(?\\d{3}\\)?[ \\-.]\\d{3}[ \\-.]\\d{4}\\b')) AS phones FROM t WHERE text IS NOT NULL""")
+def _(c):
+    email, phone = (next(p for p in redaction.PATTERNS if p.name == n) for n in ("email", "phone_na"))
+    size = lambda p: F.size(redaction.pattern_spans(F.col("text"), p))
+    return _texts(c).where(F.col("text").isNotNull()).select("record", "turn", size(email).alias("emails"), size(phone).alias("phones"))
+
+
 @query("r9_redacted_notes", "call_records")
 def _(c):
-    return redaction.redact_turns(_notes(c)).select("record", "turn", "text", "status", F.array_join("residual", "|").alias("residual"), F.size("spans").alias("n_spans"))
+    return redaction.redact_turns(_texts(c)).select("record", "turn", "text", "status", F.array_join("residual", "|").alias("residual"), F.size("spans").alias("n_spans"))
 
 
 @query("r20_record_verdicts", "call_records")
 def _(c):
-    return redaction.record_verdicts(redaction.redact_turns(_notes(c)))
+    return redaction.record_verdicts(redaction.redact_turns(_texts(c)))
 
 
 @query("r18_entity_counts", "call_records")
 def _(c):
-    return redaction.redact_turns(_notes(c)).select(F.explode("spans").alias("x")).groupBy(F.col("x.entity").alias("entity")).agg(F.count("*").alias("n"))
+    return redaction.redact_turns(_texts(c)).select(F.explode("spans").alias("x")).groupBy(F.col("x.entity").alias("entity")).agg(F.count("*").alias("n"))
 
 
 # --- joins --------------------------------------------------------------------------------------------------------------------------
