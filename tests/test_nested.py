@@ -34,6 +34,15 @@ def test_taxonomy_arrangements(spark):
         ("t2", "node", "gone", "k"), ("t2", "thresholds", "k", "complexity"), ("t3", "node", "t3", "m"), ("t3", "slot", "m", "a")])
 
 
+def test_nodes_of_any_depth(spark):
+    node = {"intent_id": "n11", "slots": [{"name": "s"}], "volume": {"utterance_count": 3}}
+    for k in range(10, 0, -1):
+        node = {"intent_id": f"n{k}", "children": {f"n{k + 1}": node} if k == 8 else [node]}
+    tables = nested.taxonomy_tables(spark.createDataFrame([("t", json.dumps({"nodes": [node]}), None, None)], T))
+    assert {(r["parent_id"], r["intent_id"]) for r in tables["nodes"].collect()} == {(f"n{k - 1}" if k > 1 else None, f"n{k}") for k in range(1, 12)}
+    assert [(r["intent_id"], r["name"]) for r in tables["slots"].collect()] == [("n11", "s")] and tables["volumes"].count() == 1
+
+
 def test_empty(spark):
     assert nested.parent_child_keys(spark.createDataFrame([], D), spark.createDataFrame([], T)).count() == 0
     assert nested.utterances(spark.createDataFrame([], D)).count() == 0

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of nodes under nodes; the model has three.
-MAX_DEPTH = 6
+#: Levels of nodes under nodes that are columns of their own; deeper ones are read by a fold. The model has three.
+LEVELS = 6
 NODES = "array<struct<parent:string,id:string,node:variant>>"
 NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -87,9 +87,10 @@ def utterances(dialogues: DataFrame) -> DataFrame:
 
 def _taxonomy_nodes(snapshots: DataFrame) -> DataFrame:
     """taxonomy_id and nodes: array of struct(parent, id, node) of a topmost node and all levels below it."""
-    t = snapshots.select("taxonomy_id", parsed(F.col("payload")).alias("v"))
+    # no node lies deeper than its payload says "children"
+    t = snapshots.select("taxonomy_id", F.coalesce(F.regexp_count("payload", F.lit("children")), F.lit(0)).alias("most"), parsed(F.col("payload")).alias("v"))
     # a row per record, then per topmost node: what is parsed and read is not computed again for the levels below
-    t = t.select("taxonomy_id", F.explode(_records(F.col("v"))).alias("r"))
+    t = t.select("taxonomy_id", "most", F.explode(_records(F.col("v"))).alias("r"))
     body = F.coalesce(_get(F.col("r"), "$.data.taxonomy"), _get(F.col("r"), "$.taxonomy"), F.col("r"))
 
     def entry(x: Column, key: Column, above: Column) -> Column:
@@ -108,10 +109,17 @@ def _taxonomy_nodes(snapshots: DataFrame) -> DataFrame:
         bound = F.transform(F.filter(F.array(_get(holder, path)), lambda v: v.isNotNull()), of)
         return F.filter(F.flatten(bound), lambda n: _object(n["node"]))
 
-    level = t.select("taxonomy_id", F.explode(members(body, "$.nodes", F.lit(None).cast("string"))).alias("top")).select("taxonomy_id", F.array("top").alias("l0"))
-    for d in range(1, MAX_DEPTH):
-        level = level.withColumn(f"l{d}", F.flatten(F.transform(f"l{d - 1}", lambda n: members(n["node"], "$.children", n["id"]))))
-    every = F.flatten(F.array(*[F.coalesce(f"l{d}", F.array().cast(NODES)) for d in range(MAX_DEPTH)]))
+    level = t.select("taxonomy_id", "most", F.explode(members(body, "$.nodes", F.lit(None).cast("string"))).alias("top")).select("taxonomy_id", "most", F.array("top").alias("l0"))
+    def below(l: Column) -> Column:
+        return F.flatten(F.transform(l, lambda n: members(n["node"], "$.children", n["id"])))
+
+    for d in range(1, LEVELS):
+        level = level.withColumn(f"l{d}", below(F.col(f"l{d - 1}")))
+    none = F.array().cast(NODES)
+    state = F.struct(F.coalesce(below(F.col(f"l{LEVELS - 1}")), none).alias("last"), none.alias("done"))
+    step = lambda a, _: F.when(F.size(a["last"]) == 0, a).otherwise(F.struct(F.coalesce(below(a["last"]), none).alias("last"), F.concat(a["done"], a["last"]).alias("done")))
+    deeper = F.aggregate(F.sequence(F.lit(0), F.col("most")), state, step, lambda a: a["done"])
+    every = F.flatten(F.array(*[F.coalesce(f"l{d}", none) for d in range(LEVELS)], F.when(F.size(f"l{LEVELS - 1}") > 0, deeper).otherwise(none)))
     return level.select("taxonomy_id", F.filter(every, lambda n: n["id"].isNotNull()).alias("nodes"))
 
 
