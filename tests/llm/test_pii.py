@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from turnmill.llm import pii, tagger
 from turnmill.llm.pii_rules import label_spans
@@ -13,14 +14,15 @@ I = "row_id long, instruction string, item_pos long"
 def test_gradients_equal_differences():
     m, r = tagger.Tagger.new(5, 1), np.random.default_rng(0)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    w = [r.integers(32, 100, n) for n in (9, 7, 7, 3)]
-    x, live, n = tagger._stack(w)
-    y, _, _ = tagger._stack([r.integers(0, tagger.TAGS, len(v)) for v in w])
+    x, live, n = tagger._stack([r.integers(32, 100, k) for k in (17, 13, 13, 6)])
+    y = np.zeros(x.shape[1:], np.int64)
+    for j, k in enumerate(n):
+        y[:k, j] = r.integers(0, tagger.TAGS, k)
     _, g = m.gradients(x, live, n, y)
     for k in m.p:
         i = tuple(int(r.integers(0, s)) for s in m.p[k].shape)
-        i = (int(x[0, 0]), i[1]) if k[0] == "x" else i
-        old, h = m.p[k][i], 1e-4
+        i = (int(x[0, 0, 0]), i[1]) if k[0] == "x" else i
+        old, h = m.p[k][i], 1e-5
         m.p[k][i] = old + h
         a, _ = m.gradients(x, live, n, y)
         m.p[k][i] = old - h
@@ -32,19 +34,34 @@ def test_gradients_equal_differences():
 def test_viterbi_equals_brute_force():
     m, r = tagger.Tagger.new(4, 3), np.random.default_rng(1)
     m.p["t"] = r.normal(0, 1, m.p["t"].shape).astype(np.float32)
-    w = [r.integers(32, 100, n) for n in (3, 3, 2, 1)]
+    w = [r.integers(32, 100, n) for n in (6, 5, 3, 1)]
     for v, tags in zip(w, m.decode(w)):
         e = m.emissions(*tagger._stack([v])[:2])[:, 0]
         score = lambda q: m.p["s"][q[0]] + sum(e[t, q[t]] for t in range(len(q))) + sum(m.p["t"][a, b] for a, b in zip(q, q[1:]))
-        assert tuple(tags) == max(itertools.product(range(tagger.TAGS), repeat=len(v)), key=score)
+        assert tuple(tags) == max(itertools.product(range(tagger.TAGS), repeat=(len(v) + 1) // 2), key=score)
+
+
+def test_decoding_runs_the_trained_network():
+    m, r = tagger.Tagger.new(6, 2), np.random.default_rng(4)
+    x, live, _ = tagger._stack([r.integers(32, 100, k) for k in (41, 20, 7)])
+    for d in "fb":
+        assert np.allclose(m._infer(x, d, live)[:, :, :-1], m._run(x, d, live)[0], atol=1e-5)
+
+
+def test_tags_and_spans_of_pairs():
+    spans = [(2, 7, "email"), (9, 12, "person")]
+    assert tagger.spans_of(tagger.tags_of(13, spans)) == [(2, 8, "email"), (8, 12, "person")]
 
 
 def test_windows_cover_and_reconcile_is_best():
     r = random.Random(1)
     for _ in range(50):
-        t = "".join(r.choice("ab .\n") for _ in range(r.randint(0, 900)))
-        covered = {i for a, e in pii.windows(t) for i in range(a, e)}
+        t = "".join(r.choice("abc .\n" if _ % 2 else "abcdef ") for _ in range(r.randint(0, 900)))
+        ws = pii.windows(tagger.encode(t).tobytes())
+        covered = {i for a, e, _, _ in ws for i in range(a, e)}
         assert all(i in covered or not c.strip() for i, c in enumerate(t))
+        owned = [i for _, _, a, e in ws for i in range(a, e)]
+        assert len(owned) == len(set(owned)) and set(owned) == covered
         s = [(a, a + r.randint(1, 9), "email", r.random()) for a in (r.randint(0, 25) for _ in range(7))]
         got = {(a, e) for a, e, _ in pii.reconcile(s)}
         best = 0.0
@@ -66,31 +83,49 @@ def test_rules():
     assert at("[EMAIL_1] and [PHONE_2] already masked.") == [] and at("") == []
 
 
-def small_model(spark):
-    return pii.fit(*tables(spark), epochs=12)
-
-
 def tables(spark):
     r = random.Random(3)
-    first, last = ["Velia", "Kemel", "Padoc", "Ilsel", "Rudon", "Tamsel"], ["Orrister", "Walaby", "Norock", "Feneby"]
+    name = lambda n: "".join(r.choice("bdfklmnprstvw") + r.choice("aeiou") for _ in range(n)).title() + r.choice(["l", "n", "ster", "by"])
     rows, ins = [], []
-    for i in range(120):
-        a, b = r.choice(first), r.choice(last)
+    for i in range(300):
+        a, b = name(2), name(r.randint(2, 3))
         rows.append((i, f"Agent: Good afternoon, {a} speaking from the desk, how may I help?\nCaller: My email is {a.lower()}.{b.lower()}@mail.example.\nCaller: I was charged twice.", None, None, "x"))
         ins.append((i, f"hello, my name is {a} {b} and my number is (617) 555-0{r.randint(100, 199)}, please help", 1))
     return spark.createDataFrame(rows, C), spark.createDataFrame(ins, I)
 
 
-def test_held_out_mentions_and_placeholders(spark):
-    model = small_model(spark)
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.fit(*tables(spark), epochs=14)
+
+
+def test_held_out_mentions_and_placeholders(spark, model):
     text = "Caller: My email is padoc.walaby@mail.example. I was charged twice."
     recs = spark.createDataFrame([(1, text, None, [("a", None), None, ("b", text)], "x"), (2, None, "", None, None), (None, text, None, None, None)], C)
-    pairs = spark.createDataFrame([(5, "my name is Kemel Norock and my number is (617) 555-0111, please", 1), (6, None, 1)], I)
-    got = {(r["field"], r["row_id"], r["item_pos"], r["start_pos"], r["entity"]) for r in pii.mentions(recs, pairs, model).collect()}
-    want = {("call_records.transcript", 1, 0, 20, "email"), ("call_records.turns.text", 1, 2, 20, "email"), ("instruction_pairs.instruction", 5, 0, 11, "person"), ("instruction_pairs.instruction", 5, 0, 41, "phone")}
-    assert got <= want and len(got) >= 3  # the model is small
+    pairs = spark.createDataFrame([(5, "my name is Kemel Narister and my number is (617) 555-0111, please", 1), (6, None, 1)], I)
+    got = {(r["field"], r["row_id"], r["item_pos"], r["start_pos"], r["end_pos"], r["entity"]) for r in pii.mentions(recs, pairs, model).collect()}
+    assert got == {("call_records.transcript", 1, 0, 20, 45, "email"), ("call_records.turns.text", 1, 2, 20, 45, "email"), ("instruction_pairs.instruction", 5, 0, 11, 25, "person"), ("instruction_pairs.instruction", 5, 0, 43, 57, "phone")}
     red = {r["row_id"]: r["text"] for r in pii.redacted(recs, pairs, model).where("field = 'call_records.transcript'").collect()}
-    assert red[1] in (text, text.replace("padoc.walaby@mail.example", "[EMAIL_1]"))
+    assert red[1] == text.replace("padoc.walaby@mail.example", "[EMAIL_1]")
+
+
+def test_the_model_finds_what_no_pattern_knows(model):
+    text = "hello, my nome is Tamsel Walaby and my number is (617) 555-0144, please help"
+    found = pii.Finder(tagger.Tagger(model)).find([text])[0]
+    assert (18, 31, "person") in found and (18, 31, "person") not in label_spans(text)
+
+
+def test_limits_and_bare_forms():
+    t = 'mail "ann.lee@x.example", call (617) 555-0101. ref ORD-005275044'
+    assert pii._limits(t, 5, 20, "email") == (6, 23)
+    assert pii._limits(t, 29, 46, "phone") == (31, 45)
+    assert not pii._form_ok(t, 55, 64, "national_id") and not pii._form_ok("Anna 7", 0, 6, "person") and not pii._form_ok("no at sign", 0, 2, "email")
+
+
+def test_saved_model_is_the_model(tmp_path, model):
+    pii.save_model(str(tmp_path / "m.npz"), model)
+    back = pii.load_model(str(tmp_path / "m.npz"))
+    assert back.keys() == model.keys() and all(np.array_equal(back[k], model[k]) for k in model)
 
 
 def test_placeholders_and_empty(spark):
@@ -100,11 +135,7 @@ def test_placeholders_and_empty(spark):
     assert pii.mentions(r.limit(0), p.limit(0)).count() == 0
 
 
-def test_words_frequent_in_the_sample_hide_no_mention(spark):
-    first, last = ["Velia", "Kemel", "Padoc", "Ilsel", "Rudon", "Tamsel"], ["Walaby", "Norock", "Feneby", "Toldan", "Marwick", "Ostely"]
-    rows = [(i, f"Agent: Right, Mr {last[i % 6]}, one moment.\nCaller: I was charged twice on order {i}.", None, None, "x") for i in range(60)]
-    ins = [(i, f"hello, my name is {first[i % 6]} Orrister and i was charged twice", 1) for i in range(60)]
-    model = pii.fit(spark.createDataFrame(rows, C), spark.createDataFrame(ins, I), epochs=60)
-    recs = spark.createDataFrame([(1, "Agent: Right, Mr Orrister, one moment.", None, None, "x")], C)
-    got = {(r["start_pos"], r["end_pos"], r["entity"]) for r in pii.mentions(recs, spark.createDataFrame([], I), model).collect()}
-    assert got == {(17, 25, "person")}
+def test_long_texts_are_reconciled_over_overlapping_windows(model):
+    one = "my email is padoc.walaby@mail.example and my name is Kemel Norock and my number is (617) 555-0111 and "
+    found = pii.Finder(tagger.Tagger(model)).find([one * 30])[0]
+    assert len(found) >= 85 and all(a[1] <= b[0] for a, b in zip(found, found[1:]))

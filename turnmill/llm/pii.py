@@ -1,10 +1,11 @@
 """Personal information in free text: found by a character-level BiLSTM-CRF, replaced by typed placeholders.
 
-The model is trained at the start of a query on a bounded sample of rows (TRAIN_ROWS, the smallest by hash) whose spans are labelled by patterns and cues. Every text is cut into windows at sentence ends, long ones
-into overlapping windows; all are decoded, equal ones of a task once (digits are one symbol, so texts that differ in digits
-alone are equal). Spans of overlapping windows are reconciled over the whole text by the heaviest set without
-overlaps, then an exact check sets their limits and refuses those without the form of their entity. One narrow pass
-over all rows, no shuffle.
+The model is fitted to a bounded sample of rows (TRAIN_ROWS, the smallest by hash) whose spans patterns and cues label; it can be
+saved, loaded and passed to every query. Every text is cut into windows at sentence ends, long ones into overlapping windows; all
+are decoded, equal ones of a task once (digits are one symbol, letters with accents those without). What is decoded comes
+out: of overlapping windows each place belongs to the one in which it lies more central, spans are reconciled over the whole
+text by the heaviest set without overlaps, their limits moved to whole words without outer marks, and those without the
+bare form of their entity (no "@" in an email, a digit in a name) refused. One narrow pass over all rows, no shuffle.
 """
 
 from __future__ import annotations
@@ -16,36 +17,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pii_rules import label_spans
+from .pii_rules import label_spans, spelled_digits
 from .tagger import Tagger, encode, spans_of, tags_of, train
 
 #: Rows of each table in the training sample.
-TRAIN_ROWS = {"records": 2200, "pairs": 5000}
-#: Windows without any span in training, at most this many per window with one.
-PLAIN = 0.6
-WINDOW, OVERLAP = 160, 64
-#: Added to the score of every beginning span: what is found too much, the exact check refuses.
-BIAS = 3.5
-HIDDEN, EPOCHS = 16, 6
+TRAIN_ROWS = {"records": 1500, "pairs": 4000}
+#: Training windows of the first round, with and without spans; the second round adds those of the sample decoded wrongly.
+FIRST = {"with": 4500, "plain": 3000}
+WINDOW, OVERLAP = 320, 64
+TRAIN_WINDOW, TRAIN_OVERLAP = 160, 64
+HIDDEN, EPOCHS = 20, 4
 
-_CUT = re.compile(r"(?<=[^\W_][^\W_][.?!])\s+|[\r\n]+|\s\|\s|;\s|\s/\s")
+# over symbols: sentence ends, line ends and separators
+_CUT = re.compile(rb"(?<=[0A-Za-z]{2}[.?!]) +|\n+| [|/] |; ")
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the windows: sentences, and overlapping stretches of long ones. Every character is in one."""
+def windows(symbols: bytes, size: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last) of the windows: sentences, and overlapping stretches of long ones, cut between words.
+
+    Every character but those of the cuts is in one; first to last (excluded) are the places that lie in no other more centrally.
+    """
     out = []
-    a = 0
-    for m in [*_CUT.finditer(text), None]:
-        e = m.start() if m else len(text)
-        while e - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += WINDOW - OVERLAP
+    a = first = 0
+    for e, after in [*(m.span() for m in _CUT.finditer(symbols)), (len(symbols), 0)]:
+        while e - a > size:
+            end = max(symbols.rfind(b" ", a + size - overlap // 4, a + size), a + size - overlap // 4)
+            start = symbols.find(b" ", end - overlap, end - overlap * 3 // 4) + 1 or end - overlap
+            mid = (start + end) // 2
+            out.append((a, end, first, mid))
+            a, first = start, mid
         if e > a:
-            out.append((a, e))
-        a = m.end() if m else e
+            out.append((a, e, first, e))
+        a = first = after
     return out
 
 
@@ -72,33 +78,42 @@ def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def _form_ok(s: str, entity: str) -> bool:
-    """Whether a decoded span that no pattern knows has the whole form of its entity.
+_MARKS = " \t\r\n\xa0,;:.!?\"'*|<>\u201c\u201d\u201e\u00ab\u00bb\u2018\u2019"
+_ABBREVIATED = re.compile(r"(?:(?<!\w)\w|str|avda|blvd|st|rd|ave)\.$", re.I)
+
+
+def _limits(text: str, a: int, e: int, kind: str) -> tuple[int, int]:
+    """The span from whole word to whole word, without outer spaces and marks."""
+    while a < e and (text[a] in _MARKS or text[a] in "()[]{}" and kind != "phone" or text[a] in "-/"):
+        a += 1
+    while e > a and (text[e - 1] in _MARKS or text[e - 1] in "([{-/" or text[e - 1] in ")]}" and kind not in ("phone", "email")) and not (text[e - 1] == "." and _ABBREVIATED.search(text, a, e)):
+        e -= 1
+    if a < e:
+        while a > 0 and text[a].isalnum() and (text[a - 1].isalnum() or (kind == "email" and text[a - 1] in "._+-" and a > 1 and text[a - 2].isalnum())):
+            a -= 1
+        while e < len(text) and text[e - 1].isalnum() and (text[e].isalnum() or (kind == "email" and text[e] in "._-@" and e + 1 < len(text) and text[e + 1].isalnum())):
+            e += 1
+    return a, e
 
-    Names have no form of their own, and numbers without a known one are references more often than not.
-    """
-    if entity == "email":
-        return bool(re.fullmatch(r"[\w.+-]+\s?@\s?[\w-]+(?:\.[\w-]+)+", s))
-    if entity == "phone":
-        return bool(re.fullmatch(r"\+\d[\d ().-]{7,}\d", s))
-    return False
-
-
-def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans with exact limits: a pattern that meets a span decides its limits and entity; others need the form."""
-    kinds = {k for _, _, k in spans}
-    rules = label_spans(text, bool(kinds & {"email", "person"}), bool(kinds - {"email", "person"}))
-    out = set()
-    for a, e, k in spans:
-        met = [r for r in rules if r[0] < e and a < r[1]]
-        if met:
-            out.update(met)
-        elif _form_ok(text[a:e], k):
-            out.add((a, e, k))
-    return sorted(out)
 
+_AT_WORD = re.compile(r"@|\bat\b|\barroba\b|\barobase\b", re.I)
 
-_ZEROS = str.maketrans("123456789", "000000000")
+
+def _form_ok(text: str, a: int, e: int, kind: str) -> bool:
+    """Whether a decoded span has the bare form of its entity; a number behind letters and a hyphen is a reference."""
+    s = text[a:e]
+    if kind == "email":
+        return bool(_AT_WORD.search(s)) and len(s) >= 6
+    letters, digits = sum(c.isalpha() for c in s), sum(c.isdigit() for c in s)
+    if kind == "person":
+        return letters >= 2 and not digits and not any(c in "[]@{}<>_" for c in s)
+    if kind == "address":
+        return digits >= 1 and letters >= 3
+    if a > 1 and text[a - 1] in "-#" and text[a - 2].isalnum():
+        return False
+    if letters > 2:
+        digits += spelled_digits(s)
+    return 9 <= digits <= 15 if kind == "phone" else 6 <= digits <= 12
 
 
 class Finder:
@@ -108,62 +123,41 @@ class Finder:
 
     def __init__(self, model: Tagger) -> None:
         self.model = model
-        self.known: dict[str, tuple] = {}
+        self.known: dict[bytes, tuple] = {}
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        cut = [windows(t) for t in texts]
-        keys: list[list[str]] = []
-        new: dict[str, np.ndarray] = {}
-        for t, ws in zip(texts, cut):
-            masked = t.translate(_ZEROS)
-            ks = [masked[a:e] for a, e in ws]
+        cut: list[list[tuple[int, int, int, int]]] = []
+        keys: list[list[bytes]] = []
+        new: dict[bytes, None] = {}
+        for t in texts:
+            symbols = encode(t).tobytes()
+            ws = windows(symbols)
+            ks = [symbols[a:e] for a, e, _, _ in ws]
+            cut.append(ws)
             keys.append(ks)
             for k in ks:
-                if k not in self.known and k not in new:
-                    new[k] = encode(k)
-        names = list(new)
-        for k, tags in zip(names, self.model.decode([new[k] for k in names], BIAS)):
-            self.known[k] = tuple(spans_of(tags)) if tags.any() else ()
+                if k not in self.known:
+                    new[k] = None
+        for k, tags in zip(new, self.model.decode([np.frombuffer(k, np.uint8) for k in new])):
+            self.known[k] = tuple((a, min(e, len(k)), kind) for a, e, kind in spans_of(tags)) if tags.any() else ()
         out = []
         for t, ws, ks in zip(texts, cut, keys):
-            spans = []
-            for (a, e), k in zip(ws, ks):
+            spans: list[tuple[int, int, str, float]] = []
+            for j, ((a, e, first, last), k) in enumerate(zip(ws, ks)):
                 for b, c, kind in self.known[k]:
-                    # a span at the cut of a long sentence weighs less than its whole in the next window
-                    edge = (b == 0 and a > 0 and not _CUT.match(t, a - 1)) or (c == e - a and e < len(t) and not _CUT.match(t, e))
-                    spans.append((a + b, a + c, kind, (c - b) * (0.5 if edge else 1.0) + 0.01))
-            out.append(self._finish(t, ws, reconcile(spans)) if spans else [])
+                    b, c = a + b, a + c
+                    if not first <= _limits(t, b, c, kind)[0] < last:
+                        continue
+                    if c == e and j + 1 < len(ws) and ws[j + 1][0] < e:  # cut by the window: the next one has its end
+                        c = max([c, *(ws[j + 1][0] + y for x, y, other in self.known[ks[j + 1]] if other == kind and ws[j + 1][0] + x < c)])
+                    b, c = _limits(t, b, c, kind)
+                    if b < c and _form_ok(t, b, c, kind):
+                        spans.append((b, c, kind, float(c - b)))
+            out.append(reconcile(spans) if spans else [])
         if len(self.known) > self.KEEP:
             self.known = {}
         return out
 
-    @staticmethod
-    def _finish(text: str, ws: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """The exact check, on the lines that hold spans."""
-        out: set[tuple[int, int, str]] = set()
-        done = -1
-        for a, e, _ in spans:
-            if a < done:
-                continue
-            lo = max((b for b, c in ws if b <= a < c), default=a)
-            lo = min(b for b, c in ws if c > lo - OVERLAP and b <= a)
-            first, last = _line(text, lo, e)
-            done = last
-            part = [(x - first, y - first, k) for x, y, k in spans if first <= x < last]
-            out.update((x + first, y + first, k) for x, y, k in checked(text[first:last], part))
-        return sorted(out)
-
-
-def _line(text: str, a: int, e: int) -> tuple[int, int]:
-    """The sentence around a span: from the last cut before it to the first after it."""
-    first = 0
-    for m in _CUT.finditer(text, max(0, a - 4 * WINDOW), a):
-        first = m.end()
-    if first == 0 and a > 4 * WINDOW:
-        first = a - 4 * WINDOW
-    m = _CUT.search(text, e)
-    return first, m.start() if m else len(text)
-
 
 def _fields(records: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
     """field, row_id, item_pos, text of every place with text; null and empty texts and rows without row_id are left out."""
@@ -179,38 +173,73 @@ def _fields(records: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
     return out.where(F.col("row_id").isNotNull() & (F.length("text") > 0)).select("field", F.col("row_id").cast("long").alias("row_id"), "item_pos", "text")
 
 
-def labelled(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Training windows and tags, each different one once.
+Windows = list[tuple[np.ndarray, np.ndarray]]
 
-    Every window with spans comes as it is and in lower case, as some transcripts are; those without, PLAIN per one with.
+
+def labelled(texts: list[str]) -> tuple[Windows, Windows]:
+    """(symbols, tags) of the different windows with spans and without, each list in an order by hash.
+
+    A window with spans comes as it is and in lower case, as some transcripts are.
     """
     with_, plain, seen = [], [], set()
     for t in texts:
-        for a, e in windows(t):
-            w = t[a:e]
-            key = w.translate(_ZEROS)
-            if key in seen:
+        symbols = encode(t)
+        for a, e, _, _ in windows(symbols.tobytes(), TRAIN_WINDOW, TRAIN_OVERLAP):
+            w, x = t[a:e], symbols[a:e]
+            if (key := x.tobytes()) in seen:
                 continue
             seen.add(key)
-            spans = label_spans(w)
-            if spans:
-                with_ += [(encode(v), tags_of(len(w), spans)) for v in ({w, w.lower()} if len(w.lower()) == len(w) else {w})]
+            if spans := label_spans(w):
+                y = tags_of(len(w), spans)
+                with_ += [(encode(v), y) for v in ({w, w.lower()} if len(w.lower()) == len(w) else {w})]
             else:
-                plain.append((key, w))
-    plain.sort(key=lambda p: (zlib.crc32(p[0].encode()), p[0]))
-    with_.sort(key=lambda p: p[0].tobytes())
-    rows = with_ + [(encode(w), np.zeros(len(w), np.int64)) for _, w in plain[: int(PLAIN * len(with_)) + 50]]
-    return [x for x, _ in rows], [y for _, y in rows]
+                plain.append((x, tags_of(len(w), [])))
+    by_hash = lambda p: (zlib.crc32(p[0].tobytes()), p[0].tobytes())
+    return sorted(with_, key=by_hash), sorted(plain, key=by_hash)
+
+
+def learn(texts: list[str], epochs: int = EPOCHS, hidden: int = HIDDEN) -> Tagger:
+    """A model of the labelled windows of texts: a first round on FIRST of them, then two on half of these each and all windows of
+    the texts that are still decoded wrongly, twice."""
+    with_, plain = labelled(texts)
+    first = with_[: FIRST["with"]] + plain[: FIRST["plain"]]
+    model = train([x for x, _ in first], [y for _, y in first], hidden=hidden, epochs=epochs)
+    rest, wrong = with_ + plain, []
+    for half in (0, 1):
+        wrong += [w for w, tags in zip(rest, model.decode([x for x, _ in rest])) if not np.array_equal(tags, w[1])]
+        part = first[half::2] + 2 * wrong
+        model = train([x for x, _ in part], [y for _, y in part], hidden=hidden, epochs=2, rate=0.008, model=model)
+    return model
 
 
 def fit(records: DataFrame, pairs: DataFrame, rows: dict[str, int] | None = None, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Parameters fitted to a bounded sample: `rows` of each table, the smallest by a hash of row_id."""
-    sample = []
+    """Parameters fitted to a bounded sample: `rows` of each table, the smallest by a hash of row_id.
+
+    The sample goes to one task, which trains; only the parameters come to the driver.
+    """
+    parts = []
     for df, only, name in ((records.select("row_id", "transcript", "notes", "turns"), 0, "records"), (pairs.select("row_id", "instruction"), 1, "pairs")):
         part = df.where(F.col("row_id").isNotNull()).orderBy(F.xxhash64("row_id"), "row_id").limit((rows or TRAIN_ROWS)[name])
-        sample += [r["text"] for r in _fields(None if only else part, part if only else None).orderBy("row_id", "field", "item_pos").collect()]
-    x, y = labelled(sample)
-    return train(x, y, hidden=HIDDEN, epochs=epochs).p
+        parts.append(_fields(None if only else part, part if only else None))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        texts = pd.concat(frames).sort_values(["field", "row_id", "item_pos", "text"])["text"].tolist() if frames else []
+        p = learn(texts, epochs).p
+        yield pd.DataFrame({"name": list(p), "rows": [v.shape[0] for v in p.values()], "data": [v.astype(np.float32).tobytes() for v in p.values()]})
+
+    got = parts[0].unionByName(parts[1]).repartition(1).mapInPandas(run, "name string, rows int, data binary").collect()
+    shaped = lambda r: np.frombuffer(r["data"], np.float32).reshape((r["rows"], -1) if r["name"] not in "bs" else -1)
+    return {r["name"]: shaped(r).copy() for r in got} or Tagger.new(HIDDEN, 5).p
+
+
+def save_model(path: str, model: dict[str, np.ndarray]) -> None:
+    np.savez(path, **model)
+
+
+def load_model(path: str) -> dict[str, np.ndarray]:
+    with np.load(path) as f:
+        return {k: f[k] for k in f.files}
 
 
 def mentions(records: DataFrame, pairs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:

@@ -70,7 +70,7 @@ _NOT_NAMES = frozenset("the a an my your not and or from on in at by to here the
 _SCORE = {"email": 5, "national_id": 3, "phone": 3, "address": 4, "person": 2}
 
 
-def _spelled_digits(s: str) -> int:
+def spelled_digits(s: str) -> int:
     return len(re.findall(_DIGIT, s, re.I))
 
 
@@ -110,7 +110,7 @@ def label_spans(text: str, names: bool = True, numbers: bool = True) -> list[tup
                         found.append((a, a + len(s[a:e].rstrip()), "person"))
     if numbers:
         if _HAS_NUMBER.search(low):
-            found += [(m.start(), m.end(), "national_id" if _spelled_digits(m[0]) == 9 else "phone") for m in _SPELLED.finditer(s)]
+            found += [(m.start(), m.end(), "national_id" if spelled_digits(m[0]) == 9 else "phone") for m in _SPELLED.finditer(s)]
         if _HAS_DIGIT.search(s):
             found += [(m.start(), m.end(), "phone") for m in _PHONES.finditer(s) if sum(c.isdigit() for c in m[0]) >= 9]
             found += [(m.start(), m.end(), "national_id") for m in _IDS.finditer(s)]
