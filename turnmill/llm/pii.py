@@ -93,6 +93,8 @@ def _limits(text: str, a: int, e: int, kind: str) -> tuple[int, int]:
             a -= 1
         while e < len(text) and text[e - 1].isalnum() and (text[e].isalnum() or (kind == "email" and text[e] in "._-@" and e + 1 < len(text) and text[e + 1].isalnum())):
             e += 1
+        if kind == "phone" and text[a].isdigit() and a and text[a - 1] in "(+":
+            a -= 1
     return a, e
 
 
