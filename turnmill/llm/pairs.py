@@ -1,28 +1,29 @@
 """Broken instruction-response pairs and their one kind of defect.
 
 A response that breaks off is the beginning of a longer one. The last line of each response and all sentences are
-brought to a common form (numbers and names masked), sorted by text within their first characters, and each is held
-against the neighbours it is a common prefix of: a line that goes on more often than it ends was cut. Peaks in the
-distribution of lengths show length limits; a line without neighbours that ends at such a limit counts as cut as well.
-Copies, refusals and languages are rules on the whole text.
+brought to a common form (numbers and names masked) and sorted by text over the whole table; what a line is a common prefix of are
+its next neighbours, and the difference of two running sums counts them: a line that goes on in more responses than it ends was cut.
+Peaks in the distribution of lengths show length limits; a line without such neighbours that ends at a limit counts as cut as well.
+Copies, refusals and languages are rules on the whole text. Each row is read once; what the later steps need of it is a table in
+the shared folder.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines meet by this many first characters; shorter ones meet the counted beginnings of the others.
-HEAD = 8
-#: A length is a peak if it comes this many times as often as the lengths around it.
-PEAK, PEAK_ROWS = 3.0, 30
+from ..tables import written
+
+#: A length is a peak if it comes this many times as often as the ten lengths around it do in the middle, and as all lengths do on average.
+PEAK = 3.0
+#: A line that stands complete in more than this share of its responses was not cut.
+COMPLETE = 0.2
 
 # What stands in for nothing.
 NOTHING = {
@@ -42,7 +43,11 @@ LANGUAGES = {
     "de": """der die das und ist ich nicht ein eine den dem von mit für auf zu im es wir sie haben hat am bis was bei ihr einen um vom zum zur als an aus nach
         muss soll wurde werden kann keine hilfe bitte mitarbeiter rückruf ja erledigt morgen vormittag danke hallo guten tag gern geschehen noch sonst dass dieser diese""",
 }
-_WORDS = {k: frozenset(v.split()) for k, v in LANGUAGES.items()}
+_SPEAKS: dict[str, tuple[str, ...]] = {}
+for _k, _v in LANGUAGES.items():
+    for _w in set(_v.split()):
+        _SPEAKS[_w] = (*_SPEAKS.get(_w, ()), _k)
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 # Months before which a dot after a number ends nothing.
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
@@ -56,7 +61,7 @@ _DECLINES = re.compile(
     r"kann ich (?:dazu )?nicht(?:s)? (?:helfen|sagen|beantworten)|dabei kann ich nicht|kann ich dazu nichts|darf ich (?:leider )?nicht|muss ich (?:leider )?ablehnen|nicht (?:in der lage|befugt|gestattet)|wäre nicht angebracht", re.I)
 _CIVIL = re.compile(
     r"^(?:(?:please |bitte |veuillez |por favor )?(?:contact|ask|try|consult|turn|wenden|fragen|consulte|pregunte|contacte|adressez|contactez|demandez)\b.*|.*\b(?:sorry|regret|apolog\w*|understand|désolé|regrette|comprends|lo siento|lamento|entiendo|leid|verstehe)\b[^,;:]*|"
-    r"thank you.*|thanks.*|best regards.*|gracias.*|merci.*|danke.*|the box reads|la caja dice|la boîte indique|auf der kiste steht|i will stop here)\W*$", re.I)
+    r"thank you.*|thanks.*|best regards.*|gracias.*|merci.*|danke.*)\W*$", re.I)
 _BUT = re.compile(r"\b(?:but|however|pero|mais|aber)\b", re.I)
 _DANGLING = re.compile(r"[,:;(\[{/&+\-–—$€£#]$|\(\s*[^)]*$|(?:^|\n)\s*(?:\d+[.)]|[-*•])\s*$|\b(?:am|zum|vom|dem|ab)\s+\d{1,2}\.$", re.I)
 _TERMINAL = re.compile(r"[.!?…\"”»“)\]]$")
@@ -66,10 +71,15 @@ _MASK_ID = re.compile(r"\b[A-Z]{2,4}-\d+")
 _MASK_NAME = re.compile(r"(?<=[^\W_]\s)[A-ZÀ-Þ][\w’'-]*|(?<=[,;:]\s)[A-ZÀ-Þ][\w’'-]*")
 
 
+_OTHER = re.compile(r"[\W_]+")
+
+
 def plain(text: str | None) -> str:
     """Letters and digits only, without case and accents."""
-    s = unicodedata.normalize("NFKD", (text or "").casefold())
-    return "".join(c for c in s if c.isalnum())
+    s = (text or "").casefold()
+    if not s.isascii():
+        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    return _OTHER.sub("", s)
 
 
 def says_nothing(text: str | None) -> bool:
@@ -81,16 +91,22 @@ def says_nothing(text: str | None) -> bool:
 
 def language(text: str | None) -> str | None:
     """en, es, fr or de by frequent words outside quotes; None where no language leads."""
-    s = unicodedata.normalize("NFC", _QUOTED.sub(" ", text or "").lower())
-    words = re.findall(r"[^\W\d_]+", s)
-    score = sorted(((sum(w in known for w in words), k) for k, known in _WORDS.items()), reverse=True)
-    return score[0][1] if score[0][0] > score[1][0] else None
+    s = _QUOTED.sub(" ", text or "").lower()
+    score = dict.fromkeys(LANGUAGES, 0)
+    for w in _LETTERS.findall(s if s.isascii() else unicodedata.normalize("NFC", s)):
+        for k in _SPEAKS.get(w, ()):
+            score[k] += 1
+    (n, first), (second, _) = sorted(((n, k) for k, n in score.items()), reverse=True)[:2]
+    return first if n > second else None
 
 
 def is_copy(instruction: str, response: str) -> bool:
     """The instruction again, once or more, after a lead-in at most."""
-    a, b = plain(instruction), plain(response)
-    if not a or a not in b:
+    a = plain(instruction)
+    if not a or len(response) < len(a):
+        return False
+    b = plain(response)
+    if a not in b:
         return False
     rest = b.split(a)
     if not any(rest):
@@ -100,10 +116,12 @@ def is_copy(instruction: str, response: str) -> bool:
 
 
 def declines(response: str) -> bool:
-    """Some sentence declines and every other one is mere courtesy."""
-    said = [s for s in _SENTENCE.split(_QUOTED.sub("", response)) if s and s.strip(" .\"'")]
+    """Some sentence declines and every other one is mere courtesy or the frame of a quotation."""
+    if not _DECLINES.search(response):
+        return False
+    said = [s for s in _SENTENCE.split(_QUOTED.sub("\0", response)) if s and s.strip(" .\"'\0")]
     no = [(m := _DECLINES.search(s)) is not None and not _BUT.search(s, m.end()) for s in said]
-    return any(no) and all(n or _CIVIL.match(s.strip()) for n, s in zip(no, said))
+    return any(no) and all(n or _CIVIL.match(s.strip()) or ("\0" in s and len(s.split()) <= 5) for n, s in zip(no, said))
 
 
 #: Capitalised names of days and months.
@@ -152,90 +170,94 @@ def rule_defect(instruction: str | None, response: str | None) -> str | None:
     return None
 
 
-def _lines(pairs: DataFrame) -> DataFrame:
-    """row_id, defect by rule, last: masked last line if it may be cut, dangling, length."""
-    schema = "row_id long, defect string, last string, dangling boolean, open boolean, length int"
+_OPEN_NUMBER = re.compile(r"\d\.$")
+_LAST_WORD = re.compile(r"\w+$")
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """row_id, defect by rule, last: masked last line if it may be cut, dangling, open, length, lines: masked sentences, text: a name of the response."""
+    schema = "row_id long, defect string, last string, dangling boolean, open boolean, length int, lines array<string>, complete array<boolean>, text long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for row, a, r in zip(b["row_id"].tolist(), b["instruction"].tolist(), b["response"].tolist()):
-                if a is None or not a.strip():
-                    continue
-                d = rule_defect(a, r)
-                last, dangling, open_, n = None, False, False, len(r.strip()) if r else 0
-                if d in (None, "wrong_language"):
-                    t = r.strip()
+            for row, a, r, name in zip(b["row_id"].tolist(), b["instruction"].tolist(), b["response"].tolist(), b["text"].tolist()):
+                asked = a is not None and bool(a.strip())
+                d = rule_defect(a if asked else "?", r)
+                last, dangling, open_, lines, complete, t = None, False, False, None, None, r.strip() if r else ""
+                if r and d in (None, "wrong_language"):
                     s = sentences(t)
-                    if s and (not s[-1][1] or re.search(r"\d\.$", t)):
-                        last = s[-1][0]
-                    dangling = bool(_DANGLING.search(t)) or cut_date(t)
-                    w = re.findall(r"\w+$", t)
-                    open_ = bool(w) and w[0].lower() in _OPEN_WORDS
-                out.append((row, d, last, dangling, open_, n))
-            yield pd.DataFrame(out, columns=["row_id", "defect", "last", "dangling", "open", "length"])
+                    lines, complete = [x for x, _ in s], [end or k + 1 < len(s) for k, (_, end) in enumerate(s)]
+                    if asked:
+                        if s and (not s[-1][1] or _OPEN_NUMBER.search(t)):
+                            last = s[-1][0]
+                        dangling = bool(_DANGLING.search(t)) or cut_date(t)
+                        w = _LAST_WORD.findall(t[-40:])
+                        open_ = bool(w) and w[0].lower() in _OPEN_WORDS
+                out.append((row, d if asked else None, last, dangling, open_, len(t), lines, complete, name))
+            yield pd.DataFrame(out, columns=["row_id", "defect", "last", "dangling", "open", "length", "lines", "complete", "text"])
 
-    return pairs.select("row_id", "instruction", "response").where(F.col("row_id").isNotNull()).mapInPandas(run, schema)
+    return pairs.select("row_id", "instruction", "response", F.xxhash64("response").alias("text")).where(F.col("row_id").isNotNull()).mapInPandas(run, schema)
 
 
-def _inventory(pairs: DataFrame) -> DataFrame:
-    """line, n: the masked sentences and last lines of all responses that answer, and how often."""
+def _inventory(judged: DataFrame) -> DataFrame:
+    """line, n, n_complete: the masked sentences and last lines of all different responses that answer, and in how many of them."""
+    once = judged.where(F.col("lines").isNotNull()).groupBy("text").agg(F.any_value(F.arrays_zip("lines", "complete")).alias("x"))
+    return (once.select(F.inline("x")).groupBy(F.col("lines").alias("line"))
+            .agg(F.count("*").alias("n"), F.count_if("complete").alias("n_complete")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: dict[tuple[str, bool], int] = {}
-            for a, r in zip(b["instruction"].tolist(), b["response"].tolist()):
-                if r and rule_defect(a or "?", r) in (None, "wrong_language"):
-                    s = sentences(r)
-                    for k, (line, end) in enumerate(s):
-                        key = (line, end or k + 1 < len(s))
-                        out[key] = out.get(key, 0) + 1
-            yield pd.DataFrame([(line, end, n) for (line, end), n in out.items()], columns=["line", "ended", "n"])
 
-    return (pairs.select("instruction", "response").mapInPandas(run, "line string, ended boolean, n long")
-            .groupBy("line").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ended"), F.col("n")).otherwise(0)).alias("n_ended")))
+_END = "\U0010ffff"
 
 
-def _continued(lines: DataFrame, inventory: DataFrame) -> DataFrame:
-    """line, ends, goes_on: how often each line ends a sentence, and how often it is the beginning of a longer one.
+def _continued(spark: SparkSession, asked: DataFrame, inventory: DataFrame) -> DataFrame:
+    """line, ends, complete, goes_on: in how many responses each line ends a sentence, and in how many it is the beginning of a longer one.
 
-    Long lines: all texts with the same HEAD characters are sorted, so what a line begins lies right behind it. Short
-    lines: counted beginnings of the inventory.
+    All lines lie sorted over ranges of the text; a line's longer neighbours stand between it and the last text that could begin
+    like it, so two running sums at these places count them. A task streams its range; one sum per range goes to the driver.
     """
-    asked = lines.where(F.col("last").isNotNull()).select(F.col("last").alias("line")).distinct()
-    both = inventory.select("line", "n", F.lit(False).alias("asked")).unionByName(asked.select("line", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
-    schema = "line string, ends long, goes_on long"
+    marks = inventory.select(F.col("line").alias("at"), F.lit(0).alias("kind"), "n", F.col("n_complete").alias("c")).unionByName(
+        asked.select(F.explode(F.array(F.struct(F.col("line").alias("at"), F.lit(1).alias("kind")), F.struct(F.concat("line", F.lit(_END)).alias("at"), F.lit(2).alias("kind")))).alias("x"))
+        .select("x.at", "x.kind", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b for b in batches if len(b)]
-        if not rows:
-            return
-        d = pd.concat(rows)
-        known = d[~d["asked"]].sort_values("line")
-        text, total = known["line"].tolist(), np.concatenate([[0], np.cumsum(known["n"].to_numpy())])
-        out = []
-        for q in d.loc[d["asked"], "line"]:
-            lo, here = bisect_left(text, q), bisect_right(text, q)
-            hi = bisect_left(text, q + "\U0010ffff")
-            out.append((q, int(total[here] - total[lo]), int(total[hi] - total[here])))
-        yield pd.DataFrame(out, columns=["line", "ends", "goes_on"])
-
-    long_ = both.where(F.length("line") >= HEAD).repartition(F.substring("line", 1, HEAD)).mapInPandas(run, schema)
-    begins = (inventory.select("line", "n", F.explode(F.sequence(F.lit(1), F.lit(HEAD - 1))).alias("k")).where(F.col("k") < F.length("line"))
-              .groupBy(F.expr("substring(line, 1, k)").alias("line")).agg(F.sum("n").alias("goes_on")))
-    short = (asked.where(F.length("line") < HEAD).join(begins, "line", "left").join(inventory.select("line", "n"), "line", "left")
-             .select("line", F.coalesce("n", F.lit(0)).alias("ends"), F.coalesce("goes_on", F.lit(0)).alias("goes_on")))
-    return long_.unionByName(short)
-
-
-def length_peaks(lengths: dict[int, int]) -> list[int]:
-    """Lengths that come PEAK times as often as the median of the ten around them, PEAK_ROWS times at least."""
-    out = []
-    for n, c in lengths.items():
-        near = sorted(lengths.get(n + k, 0) for k in (*range(-5, 0), *range(1, 6)))
-        if c >= PEAK_ROWS and c > PEAK * max(1, (near[4] + near[5]) / 2):
-            out.append(n)
-    return sorted(out)
+        total, line, ends, complete, part = 0, None, 0, 0, 0
+        for b in batches:
+            out = []
+            for at, kind, n, c, part in zip(b["at"].tolist(), b["kind"].tolist(), b["n"].tolist(), b["c"].tolist(), b["part"].tolist()):
+                total += n
+                if kind == 0:
+                    line, ends, complete = at, n, c
+                elif kind == 1:
+                    out.append((part, at, ends if line == at else 0, complete if line == at else 0, -total))
+                else:
+                    out.append((part, at[:-1], 0, 0, total))
+            yield pd.DataFrame(out, columns=["part", "line", "ends", "complete", "passed"])
+        yield pd.DataFrame([(part, None, 0, 0, total)], columns=["part", "line", "ends", "complete", "passed"])
+
+    ranged = marks.repartitionByRange("at", "kind").sortWithinPartitions("at", "kind").withColumn("part", F.spark_partition_id())
+    passed = written(spark, ranged.mapInPandas(run, "part int, line string, ends long, complete long, passed long"), "neighbours")
+    sums = sorted((r["part"], r["passed"]) for r in passed.where(F.col("line").isNull()).groupBy("part").agg(F.sum("passed").alias("passed")).collect())
+    before, so_far = {}, 0
+    for part, n in sums:
+        before[part] = so_far
+        so_far += n
+    offset = F.get(F.lit([before.get(k, 0) for k in range(max(before, default=0) + 1)]), F.col("part"))
+    return (passed.where(F.col("line").isNotNull()).withColumn("offset", offset)
+            .groupBy("line").agg(F.sum("ends").alias("ends"), F.sum("complete").alias("complete"), F.sum("passed").alias("passed"),
+                                 F.max("offset").alias("hi"), F.min("offset").alias("lo"))
+            .select("line", "ends", "complete", (F.col("passed") + F.col("hi") - F.col("lo")).alias("goes_on")))
+
+
+def _peaks(judged: DataFrame) -> DataFrame:
+    """length of each peak among the responses that may be cut, of all lengths there are."""
+    n = judged.where(F.col("last").isNotNull()).groupBy("length").agg(F.count("*").alias("n"))
+    mean = n.agg(F.avg("n").alias("mean"))
+    near = (n.select(F.explode(F.sequence(F.col("length") - 5, F.col("length") + 5)).alias("at"), F.col("length").alias("from"), "n").groupBy("at")
+            .agg(F.max(F.when(F.col("at") == F.col("from"), F.col("n"))).alias("own"), F.sort_array(F.collect_list(F.when(F.col("at") != F.col("from"), F.col("n"))), asc=False).alias("around")))
+    # of ten numbers, zeros for lengths that do not come, the fifth and sixth are in the middle
+    middle = (F.coalesce(F.get("around", F.lit(4)), F.lit(0)) + F.coalesce(F.get("around", F.lit(5)), F.lit(0))) / 2
+    return near.crossJoin(F.broadcast(mean)).where((F.col("own") > PEAK * middle) & (F.col("own") > PEAK * F.col("mean"))).select(F.col("at").alias("length"), F.lit(True).alias("limit"))
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
@@ -243,17 +265,17 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     wrong_language; a row has one at most, the first in this order.
 
     Rows without row_id and with a blank instruction are never reported; a null response is empty. Rows delivered again
-    are judged each by itself. An empty table gives no row.
+    are judged each by itself, but copies of a response count once among the neighbours. An empty table gives no row.
     """
-    lines = _lines(pairs)
-    counts = lines.where(F.col("last").isNotNull()).groupBy("length").agg(F.count("*").alias("n"))
-    # one number per length of a cut line; lengths over 4096 are no limit of interest
-    peaks = length_peaks({r["length"]: r["n"] for r in counts.where("length <= 4096").collect()})
-    judged = lines.join(_continued(lines, _inventory(pairs)).withColumnRenamed("line", "last"), "last", "left")
-    limit = F.col("length").isin(*peaks) if peaks else F.lit(False)
-    cut = F.col("dangling") | F.coalesce((F.col("goes_on") > F.col("ends")) | (F.col("last").isNotNull() & (F.col("ends") <= 2) & (F.col("open") | limit)), F.lit(False))
+    spark = pairs.sparkSession
+    judged = written(spark, _judged(pairs), "judged")
+    asked = judged.where(F.col("last").isNotNull()).select(F.col("last").alias("line")).distinct()
+    rows = judged.select("row_id", "defect", "last", "dangling", "open", "length")
+    rows = rows.join(_continued(spark, asked, _inventory(judged)).withColumnRenamed("line", "last"), "last", "left").join(_peaks(judged), "length", "left")
+    alone = (F.col("complete") <= COMPLETE * F.col("ends")) & (F.col("open") | F.coalesce("limit", F.lit(False)))
+    cut = F.col("dangling") | F.coalesce((F.col("goes_on") > F.col("ends")) | alone, F.lit(False))
     defect = (F.when(F.col("defect").isin("empty", "copied", "refusal"), F.col("defect")).when(cut, "truncated").otherwise(F.col("defect")))
-    return judged.select("row_id", defect.alias("defect")).where(F.col("defect").isNotNull())
+    return rows.select("row_id", defect.alias("defect")).where(F.col("defect").isNotNull())
 
 
 def defect_report(pairs: DataFrame) -> DataFrame:
