@@ -77,9 +77,7 @@ _OTHER = re.compile(r"[\W_]+")
 def plain(text: str | None) -> str:
     """Letters and digits only, without case and accents."""
     s = (text or "").casefold()
-    if not s.isascii():
-        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    return _OTHER.sub("", s)
+    return _OTHER.sub("", s if s.isascii() else unicodedata.normalize("NFKD", s))
 
 
 def says_nothing(text: str | None) -> bool:
@@ -133,7 +131,7 @@ _AFTER_DATE = re.compile(r"(?:\d\.?|\bon|\bby|\bam|\bdate) ([^\W\d_]+)$")
 
 def cut_date(response: str) -> bool:
     """Whether the text ends within the name of a day or month."""
-    m = _AFTER_DATE.search(response)
+    m = _AFTER_DATE.search(response[-60:])  # no name of a day or month is longer
     return m is not None and m[1] in _DATE_CUT
 
 

@@ -1,11 +1,12 @@
 """Long spans that stand verbatim in more than one document.
 
 Two documents that share a passage of LEAST characters share the smallest hashed K-gram of one of its windows (K + W - 1
-= LEAST), so texts meet only where they share such an anchor. The stretches around shared anchors go to shards by the
-smallest document of the anchor, equal stretches once. Each shard is a compressed FM-index (a wavelet tree over the
-Burrows-Wheeler transform); its stretches are streamed through backward search, which reports those that match another
-document over LEAST characters or more. Anchors in more than HOT documents are cut into their windows of LEAST
-characters and met by 128-bit hashes of these instead, so no shard holds more than HOT stretches of an anchor.
+= LEAST), so texts meet only where they share such an anchor. The stretches around a shared anchor, which hold every passage of
+LEAST characters with it, form a group, equal stretches once. Groups are packed into shards; each shard is a compressed FM-index (a
+wavelet tree over the Burrows-Wheeler transform), and its stretches are streamed through backward search, which reports those
+that match another document over LEAST characters or more. A group of one stretch that many documents carry is shared as it is. Anchors
+in more than HOT documents are cut into their windows of LEAST characters and met by 128-bit hashes of these, so no group holds
+more than HOT stretches. Joins on anchors and stretches are salted.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .fm_index import FMIndex
 LEAST = 200
 K, W = 100, 101
 HOT = 2000
+#: Parts of the rows of one anchor or stretch in joins.
+SALTS = 8
 #: Characters after which a shard's index is built.
 SHARD_CHARS = 1_000_000
 
@@ -97,9 +100,15 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "hash long, doc_id long, pos int")
 
 
+def _salted(many: DataFrame, one: DataFrame, on: list[str]) -> DataFrame:
+    """many joined to one; rows of a hot key are spread over SALTS tasks, the other side is repeated for each."""
+    return (many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+            .join(one.withColumn("salt", F.explode(F.lit(list(range(SALTS))))), [*on, "salt"]).drop("salt"))
+
+
 def _cut(docs: DataFrame, meetings: DataFrame) -> DataFrame:
-    """r, doc_id, start, text (null for the windows of hot anchors, whose r is then the first hash), check."""
-    per_doc = meetings.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "r", "hot")).alias("at"))
+    """r (the anchor), doc_id, start, text (null for the windows of hot anchors, whose r is their first hash), check."""
+    per_doc = meetings.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hash", "hot")).alias("at"))
     schema = "r long, doc_id long, start int, text string, check long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,23 +118,14 @@ def _cut(docs: DataFrame, meetings: DataFrame) -> DataFrame:
             rs, ids, starts, texts, checks = [], [], [], [], []
             for doc, text, at in zip(b["doc_id"].tolist(), b["text"].tolist(), b["at"]):
                 n = len(text)
-                by_r: dict[int, list[int]] = {}
                 windows: set[int] = set()
                 for x in at:
+                    p = x["pos"]
                     if x["hot"]:
-                        windows.update(range(max(0, x["pos"] - margin), min(x["pos"], n - LEAST) + 1))
+                        windows.update(range(max(0, p - margin), min(p, n - LEAST) + 1))
                     else:
-                        by_r.setdefault(x["r"], []).append(x["pos"])
-                for r, ps in by_r.items():
-                    ps.sort()
-                    a, e = max(0, ps[0] - margin), min(n, ps[0] + LEAST)
-                    for p in [*ps[1:], None]:
-                        if p is not None and p - margin <= e:
-                            e = min(n, p + LEAST)
-                            continue
-                        rs.append(r), ids.append(doc), starts.append(a), texts.append(text[a:e]), checks.append(0)
-                        if p is not None:
-                            a, e = max(0, p - margin), min(n, p + LEAST)
+                        a = max(0, p - margin)
+                        rs.append(x["hash"]), ids.append(doc), starts.append(a), texts.append(text[a : p + LEAST]), checks.append(0)
                 if windows:
                     pts = _points(text)
                     if len(pts) + 1 > powers.shape[1]:
@@ -149,23 +149,37 @@ def _search(stretches: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(rows: list[tuple]) -> pd.DataFrame:
             texts = [_points(t[2]) for t in rows]
-            # documents of one group are numbered anew: texts of different groups have no anchor in common
             index = FMIndex(texts, np.array([t[3] for t in rows]), np.array([t[4] for t in rows], bool))
             t, a, e = index.shared_passages(LEAST)
             return pd.DataFrame({"r": np.array([rows[k][0] for k in t], np.int64), "key": [rows[k][1] for k in t], "a": a.astype(np.int32), "e": e.astype(np.int32)})
 
-        held: list[tuple] = []
-        chars, last = 0, None
+        held: list[tuple] = []  # whole groups of two stretches or more
+        group: list[tuple] = []
+        chars = 0
         for b in batches:
-            for row in zip(b["r"].tolist(), b["key"].tolist(), b["text"].tolist(), b["owner"].tolist(), b["multi"].tolist()):
-                if row[0] != last and chars >= SHARD_CHARS:
-                    yield found(held)
-                    held, chars = [], 0
-                last = row[0]
-                held.append(row)
-                chars += len(row[2])
-        if held:
-            yield found(held)
+            alone: list[tuple] = []
+            for row in [*zip(b["r"].tolist(), b["key"].tolist(), b["text"].tolist(), b["owner"].tolist(), b["multi"].tolist())]:
+                if group and row[0] != group[0][0]:
+                    if len(group) == 1:
+                        alone += group
+                    else:
+                        held += group
+                        chars += sum(len(x[2]) for x in group)
+                    group = []
+                    if chars >= SHARD_CHARS:
+                        yield found(held)
+                        held, chars = [], 0
+                group.append(row)
+            yield whole(alone)
+        if len(group) == 1:
+            yield whole(group)
+            group = []
+        if held or group:
+            yield found(held + group)
+
+    def whole(rows: list[tuple]) -> pd.DataFrame:
+        rows = [x for x in rows if x[4] and len(x[2]) >= LEAST]
+        return pd.DataFrame({"r": np.array([x[0] for x in rows], np.int64), "key": [x[1] for x in rows], "a": np.zeros(len(rows), np.int32), "e": np.array([len(x[2]) for x in rows], np.int32)})
 
     return stretches.repartition("r").sortWithinPartitions("r").mapInPandas(run, schema)
 
@@ -180,15 +194,15 @@ def shared_passages(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= LEAST))
     rows = _anchor_rows(docs)
     met = (rows.groupBy("hash").agg(F.min("doc_id").alias("r"), F.max("doc_id").alias("other"), F.count("*").alias("n"))
-           .where("r < other").select("hash", "r", (F.col("n") > HOT).alias("hot")))
-    cut = _cut(docs, rows.join(met, "hash").select("doc_id", "pos", "r", "hot"))
+           .where("r < other").select("hash", (F.col("n") > HOT).alias("hot")))
+    cut = _cut(docs, _salted(rows, met, ["hash"]).select("doc_id", "pos", "hash", "hot"))
     # 128 bits name a stretch
     named = cut.withColumn("key", F.coalesce(F.concat(F.xxhash64("text"), F.lit("/"), F.hash("text"), F.lit("/"), F.crc32(F.encode("text", "UTF-8"))), F.col("check").cast("string")))
     stretches = (named.groupBy("r", "key").agg(F.first("text").alias("text"), F.min("doc_id").alias("owner"), (F.min("doc_id") < F.max("doc_id")).alias("multi"))
                  .where(F.col("text").isNotNull() | F.col("multi")))
     exact = stretches.where(F.col("text").isNull()).select("r", "key", F.lit(0).alias("a"), F.lit(LEAST).alias("e"))
     hits = _search(stretches.where(F.col("text").isNotNull())).unionByName(exact)
-    spans = named.select("r", "key", "doc_id", "start").join(hits, ["r", "key"]).select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("e")).alias("e"))
+    spans = _salted(named.select("r", "key", "doc_id", "start"), hits, ["r", "key"]).select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("e")).alias("e"))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("a", "e"))),
         F.array().cast("array<struct<a:int,e:int>>"),
