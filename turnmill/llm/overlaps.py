@@ -2,10 +2,11 @@
 
 A weighted cosine join. Words weigh by their rarity (document frequencies over all rows, counted in a table of fixed
 size by hash, so what is sent around does not grow). In a pair that differs in at most EDITS words, each side keeps all
-but EDITS of its words, hence at least the norm without its EDITS heaviest words: that bound prunes. A side's words
-are ordered by weight; only those are put into the inverted lists that cannot be lost together, the EDITS + 1 heaviest
-(the residual norm of the rest stays under the bound). Candidates meet in a list of the same intent and word across
-splits, their exact dot product is held against the bound, and word edits decide at the end.
+but EDITS of its words, hence at least the squared norm without its EDITS heaviest words: that is the bound an exact dot product
+must reach. A side's words are ordered by weight; the two heaviest that a pair has in common stand among the EDITS + 2 heaviest of either
+side, so inverted lists are kept for every two of these. Before texts meet in a list, what their dot product can be at most - the
+two words and the smaller residual norm of the words behind them - is held against the bound. Exact dot products and word edits
+decide at the end; the texts themselves travel once, the lists hold their hashes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import label_key
+from ..tables import written
 
 EDITS = 3
 MIN_WORDS = 5
@@ -116,28 +118,19 @@ def _weights(texts: DataFrame) -> np.ndarray:
     return np.log1p((total + 1) / (df + 1)).astype(np.float64)
 
 
-def cross_split_pairs(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """row_a, row_b (smaller first), edits, cosine: every pair of a train row and a dev or test row of one intent whose
-    instructions (MIN_WORDS words or more) are equal but for case, accents, punctuation and spacing, or differ besides
-    in at most `edits` words.
+_POSTED = T.StructType([
+    T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType()), T.StructField("train", T.BooleanType()), T.StructField("eval", T.BooleanType()),
+    T.StructField("list", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("head", T.FloatType()), T.StructField("rest", T.FloatType()), T.StructField("least", T.FloatType()),
+])
 
-    Rows without row_id, intent, split or instruction and shorter ones are in no pair. Each row counts by itself;
-    equal texts are compared once and joined to their rows at the end. An empty table gives no pair.
-    """
-    texts = _texts(pairs)
-    weight = _weights(texts)
-    # one row for each different text of a side
-    sides = texts.groupBy("intent", "train", "words", "key").agg(F.count("*").alias("rows"))
 
-    prefix_schema = T.StructType([
-        T.StructField("intent", T.StringType()), T.StructField("train", T.BooleanType()), T.StructField("words", T.StringType()),
-        T.StructField("n", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("rank", T.IntegerType()),
-    ])
+def _posted(sides: DataFrame, weight: np.ndarray, edits: int) -> DataFrame:
+    """The lists of each text: intent and two words; head: their squared weights, rest: those of the words behind, least: the bound."""
 
-    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for intent, train, words, key in zip(b["intent"], b["train"], b["words"], b["key"]):
+            for h1, h2, train, ev, intent, words, key in zip(b["h1"].tolist(), b["h2"].tolist(), b["train"].tolist(), b["eval"].tolist(), b["intent"], b["words"], b["key"]):
                 ws = words.split(" ")
                 seen: dict[str, int] = {}
                 tokens = []
@@ -145,26 +138,57 @@ def cross_split_pairs(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
                     seen[w] = seen.get(w, 0) + 1
                     tokens.append((-weight[_slot(w)], w, seen[w]))
                 tokens.sort()
-                n = len(ws)
-                for k, (_, w, times) in enumerate(tokens[: edits + 1]):
-                    out.append((intent, train, words, n, f"{w} {times}", k))
-                out.append((intent, train, words, 0, f"={key}", -1))  # alike but for spacing, whatever the number of words
-            yield pd.DataFrame(out, columns=[f.name for f in prefix_schema])
-
-    posted = sides.mapInPandas(lists, prefix_schema)
-    # the list of a word is cut by length, so that a common word of a hot intent is many lists
-    left = posted.where("train").select("intent", "token", "n", "rank", F.col("words").alias("words_a"))
-    right = (posted.where("not train")
-             .withColumn("n", F.explode(F.when(F.col("rank") < 0, F.array("n")).otherwise(F.sequence(F.col("n") - edits, F.col("n") + edits))))
-             .select("intent", "token", "n", F.col("words").alias("words_b")))
-    met = left.join(right, ["intent", "token", "n"]).select("intent", "words_a", "words_b").distinct()
-
-    scored_schema = "intent string, words_a string, words_b string, edits int, cosine double"
+                sq = [t[0] ** 2 for t in tokens]
+                total, least = sum(sq), sum(sq[edits:])
+                first, behind = tokens[: edits + 2], total - np.cumsum(sq)
+                for j in range(1, len(first)):
+                    for i in range(j):
+                        name = f"{intent}\t{first[i][1]} {first[i][2]}\t{first[j][1]} {first[j][2]}"
+                        out.append((h1, h2, train, ev, name, len(ws), sq[i] + sq[j], behind[j], least))
+                out.append((h1, h2, train, ev, f"{intent}\t={key}", -1, 0.0, 0.0, -1.0))  # alike but for spacing, whatever the number of words
+            yield pd.DataFrame(out, columns=[f.name for f in _POSTED])
+
+    named = sides.mapInPandas(run, _POSTED)
+    return named.select("h1", "h2", "train", "eval", F.xxhash64("list").alias("l1"), F.hash("list").alias("l2"), "n", "head", "rest", "least")
+
+
+def _met(posted: DataFrame, edits: int) -> DataFrame:
+    """a1, a2, b1, b2: hashes of the texts that meet in a list and can reach the bound.
+
+    Lists are cut by the number of words, so that two common words of a hot intent are many lists.
+    """
+    step = edits + 1
+    at = F.when(F.col("n") < 0, F.lit(-1)).otherwise(F.floor(F.col("n") / step)).cast("int")
+    left = posted.where("train").select("l1", "l2", at.alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("h1", "h2", "n", "head", "rest", "least")])
+    around = F.when(F.col("n") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.floor((F.col("n") - edits) / step).cast("int"), F.floor((F.col("n") + edits) / step).cast("int")))
+    right = posted.where("eval").select("l1", "l2", F.explode(around).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("h1", "h2", "n", "rest", "least")])
+    # a word's weight is the same on either side; the bounds are single precision, hence the allowance
+    reach = (F.col("head_a") + F.least("rest_a", "rest_b")) * 1.0001 >= F.greatest("least_a", "least_b")
+    return (left.join(right, ["l1", "l2", "part"]).where((F.abs(F.col("n_a") - F.col("n_b")) <= edits) & reach)
+            .select(F.col("h1_a").alias("a1"), F.col("h2_a").alias("a2"), F.col("h1_b").alias("b1"), F.col("h2_b").alias("b2")).distinct())
+
+
+def cross_split_pairs(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """row_a, row_b (smaller first), edits, cosine: every pair of a train row and a dev or test row of one intent whose
+    instructions (MIN_WORDS words or more) are equal but for case, accents, punctuation and spacing, or differ besides
+    in at most `edits` words.
+
+    Rows without row_id, intent, split or instruction and shorter ones are in no pair. Each row counts by itself;
+    equal texts are compared once and joined to their rows at the end. An empty table gives no pair. At most MIN_WORDS - 2 edits.
+    """
+    if edits > MIN_WORDS - 2:
+        raise ValueError(f"at most {MIN_WORDS - 2} edits: two words must stay in common")
+    texts = written(pairs.sparkSession, _texts(pairs).select("*", F.xxhash64("intent", "words").alias("h1"), F.hash("intent", "words").alias("h2")), "words")
+    weight = _weights(texts)
+    # one row for each different text
+    sides = texts.groupBy("h1", "h2").agg(F.any_value("intent").alias("intent"), F.any_value("words").alias("words"), F.any_value("key").alias("key"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"))
+    met = _met(_posted(sides, weight, edits), edits)
+    scored_schema = "a1 long, a2 int, b1 long, b2 int, edits int, cosine double"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for intent, wa, wb in zip(b["intent"], b["words_a"], b["words_b"]):
+            for a1, a2, b1, b2, wa, wb in zip(b["a1"].tolist(), b["a2"].tolist(), b["b1"].tolist(), b["b2"].tolist(), b["words_a"], b["words_b"]):
                 a, c = wa.split(" "), wb.split(" ")
                 va, vb, heavy = {}, {}, []
                 for ws, v in ((a, va), (c, vb)):
@@ -179,13 +203,14 @@ def cross_split_pairs(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
                     continue
                 e = 0 if alike else word_edits(a, c, edits)
                 if e <= edits:
-                    out.append((intent, wa, wb, e, round(cosine, 6)))
-            yield pd.DataFrame(out, columns=["intent", "words_a", "words_b", "edits", "cosine"])
-
-    scored = met.mapInPandas(score, scored_schema)
-    ra = texts.where("train").select("intent", F.col("words").alias("words_a"), F.col("row_id").alias("ra"))
-    rb = texts.where("not train").select("intent", F.col("words").alias("words_b"), F.col("row_id").alias("rb"))
-    return (scored.join(ra, ["intent", "words_a"]).join(rb, ["intent", "words_b"])
+                    out.append((a1, a2, b1, b2, e, round(cosine, 6)))
+            yield pd.DataFrame(out, columns=["a1", "a2", "b1", "b2", "edits", "cosine"])
+
+    of = lambda x: sides.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("words").alias(f"words_{x}"))
+    scored = met.join(of("a"), ["a1", "a2"]).join(of("b"), ["b1", "b2"]).mapInPandas(score, scored_schema)
+    ra = texts.where("train").select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("row_id").alias("ra"))
+    rb = texts.where("not train").select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("row_id").alias("rb"))
+    return (scored.join(ra, ["a1", "a2"]).join(rb, ["b1", "b2"])
             .select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"),
                     F.col("ra").alias("train_row"), F.col("rb").alias("eval_row"), "edits", "cosine"))
 
