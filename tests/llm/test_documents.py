@@ -145,3 +145,39 @@ def test_raking_meets_margins():
     assert np.allclose(w.groupby(cells["source"]).sum(), [600, 900, 300])
     assert np.allclose(w.groupby(cells["language"]).sum(), cells.groupby("language")["tokens"].sum() * 1800 / cells["tokens"].sum(), rtol=1e-5)
     assert mixing.source_sizes({"a": 0.5, "b": 0.5}, {"a": 10.0, "b": 100.0}, 80.0) == {"a": 10.0, "b": 70.0}
+
+
+def test_exact_packing_is_the_least_number_of_bins():
+    import random
+    from functools import lru_cache
+
+    from turnmill.llm import containers
+
+    r = random.Random(8)
+    for _ in range(60):
+        capacity = r.randint(8, 20)
+        w = [r.randint(1, capacity) for _ in range(r.randint(1, 9))]
+
+        @lru_cache(None)
+        def least(left, room, capacity=capacity):
+            if not left:
+                return 0
+            best = 99
+            for k in range(len(left)):
+                rest = left[:k] + left[k + 1 :]
+                best = min(best, least(rest, room - left[k]) if left[k] <= room else 1 + least(rest, capacity - left[k]))
+            return best
+
+        bins = containers.complete(w, capacity, exact=True)
+        assert sorted(i for b in bins for i in b) == list(range(len(w))) and all(sum(w[i] for i in b) <= capacity for b in bins)
+        assert len(bins) == least(tuple(sorted(w)), 0), (w, capacity)
+
+
+def test_dominance():
+    import numpy as np
+
+    from turnmill.llm import containers
+
+    count = np.bincount([6, 5, 3, 3], minlength=11)
+    assert containers.dominated((5,), count, 6) and containers.dominated((3, 3), count, 6) and not containers.dominated((6,), count, 6)
+    assert containers.all_fillings(count, 6, 3, 10) == [(6,)]

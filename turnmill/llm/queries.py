@@ -34,6 +34,7 @@ def queries() -> dict[str, Query]:
         "p5_found": _p5_found,
         "p7_containers": lambda spark, d: containers.fill_containers(load(spark, d, "documents"), load(spark, d, "container_specs")),
         "p7_summary": lambda spark, d: containers.fill_summary(load(spark, d, "documents"), load(spark, d, "container_specs")),
+        "p7_report": lambda spark, d: containers.fill_report(load(spark, d, "documents"), load(spark, d, "container_specs")),
         "p8_mix": lambda spark, d: mixing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[0],
         "p8_report": lambda spark, d: mixing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1],
         "p9_found": lambda spark, d: shared_spans.found(load(spark, d, "documents")),
