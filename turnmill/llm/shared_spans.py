@@ -6,7 +6,7 @@ LEAST characters with it, form a group, equal stretches once. Groups are packed
 wavelet tree over the Burrows-Wheeler transform), and its stretches are streamed through backward search, which reports those
 that match another document over LEAST characters or more. A group of one stretch that many documents carry is shared as it is. Anchors
 in more than HOT documents are cut into their windows of LEAST characters and met by 128-bit hashes of these, so no group holds
-more than HOT stretches. Joins on anchors and stretches are salted.
+more than HOT stretches. The join of anchors is salted, that of stretches is left to the skew join of adaptive execution.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .fm_index import FMIndex
 LEAST = 200
 K, W = 100, 101
 HOT = 2000
-#: Parts of the rows of one anchor or stretch in joins.
-SALTS = 8
+#: Parts of the rows of one anchor in the join.
+SALTS = 4
 #: Characters after which a shard's index is built.
 SHARD_CHARS = 1_000_000
 
@@ -100,10 +100,10 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "hash long, doc_id long, pos int")
 
 
-def _salted(many: DataFrame, one: DataFrame, on: list[str]) -> DataFrame:
-    """many joined to one; rows of a hot key are spread over SALTS tasks, the other side is repeated for each."""
-    return (many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-            .join(one.withColumn("salt", F.explode(F.lit(list(range(SALTS))))), [*on, "salt"]).drop("salt"))
+def _salted(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """rows joined to met by hash; rows of a hot hash are spread over SALTS tasks, the other side is repeated for each."""
+    salt = lambda df, by: df.withColumn("salt", by.cast("byte"))
+    return (salt(rows, F.pmod("doc_id", F.lit(SALTS))).join(salt(met, F.explode(F.lit(list(range(SALTS))))), ["hash", "salt"]).drop("salt"))
 
 
 def _cut(docs: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -143,22 +143,22 @@ def _cut(docs: DataFrame, meetings: DataFrame) -> DataFrame:
 
 
 def _search(stretches: DataFrame) -> DataFrame:
-    """r, key, a, e: covered parts of each different stretch, found by backward search in its shard."""
-    schema = "r long, key string, a int, e int"
+    """r, k1, k2, a, e: covered parts of each different stretch, found by backward search in its shard."""
+    schema = "r long, k1 long, k2 long, a int, e int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(rows: list[tuple]) -> pd.DataFrame:
             texts = [_points(t[2]) for t in rows]
             index = FMIndex(texts, np.array([t[3] for t in rows]), np.array([t[4] for t in rows], bool))
             t, a, e = index.shared_passages(LEAST)
-            return pd.DataFrame({"r": np.array([rows[k][0] for k in t], np.int64), "key": [rows[k][1] for k in t], "a": a.astype(np.int32), "e": e.astype(np.int32)})
+            return pd.DataFrame({"r": np.array([rows[k][0] for k in t], np.int64), "k1": np.array([rows[k][1][0] for k in t], np.int64), "k2": np.array([rows[k][1][1] for k in t], np.int64), "a": a.astype(np.int32), "e": e.astype(np.int32)})
 
         held: list[tuple] = []  # whole groups of two stretches or more
         group: list[tuple] = []
         chars = 0
         for b in batches:
             alone: list[tuple] = []
-            for row in [*zip(b["r"].tolist(), b["key"].tolist(), b["text"].tolist(), b["owner"].tolist(), b["multi"].tolist())]:
+            for row in [*zip(b["r"].tolist(), zip(b["k1"].tolist(), b["k2"].tolist()), b["text"].tolist(), b["owner"].tolist(), b["multi"].tolist())]:
                 if group and row[0] != group[0][0]:
                     if len(group) == 1:
                         alone += group
@@ -179,7 +179,7 @@ def _search(stretches: DataFrame) -> DataFrame:
 
     def whole(rows: list[tuple]) -> pd.DataFrame:
         rows = [x for x in rows if x[4] and len(x[2]) >= LEAST]
-        return pd.DataFrame({"r": np.array([x[0] for x in rows], np.int64), "key": [x[1] for x in rows], "a": np.zeros(len(rows), np.int32), "e": np.array([len(x[2]) for x in rows], np.int32)})
+        return pd.DataFrame({"r": np.array([x[0] for x in rows], np.int64), "k1": np.array([x[1][0] for x in rows], np.int64), "k2": np.array([x[1][1] for x in rows], np.int64), "a": np.zeros(len(rows), np.int32), "e": np.array([len(x[2]) for x in rows], np.int32)})
 
     return stretches.repartition("r").sortWithinPartitions("r").mapInPandas(run, schema)
 
@@ -195,14 +195,14 @@ def shared_passages(documents: DataFrame) -> DataFrame:
     rows = _anchor_rows(docs)
     met = (rows.groupBy("hash").agg(F.min("doc_id").alias("r"), F.max("doc_id").alias("other"), F.count("*").alias("n"))
            .where("r < other").select("hash", (F.col("n") > HOT).alias("hot")))
-    cut = _cut(docs, _salted(rows, met, ["hash"]).select("doc_id", "pos", "hash", "hot"))
+    cut = _cut(docs, _salted(rows, met).select("doc_id", "pos", "hash", "hot"))
     # 128 bits name a stretch
-    named = cut.withColumn("key", F.coalesce(F.concat(F.xxhash64("text"), F.lit("/"), F.hash("text"), F.lit("/"), F.crc32(F.encode("text", "UTF-8"))), F.col("check").cast("string")))
-    stretches = (named.groupBy("r", "key").agg(F.first("text").alias("text"), F.min("doc_id").alias("owner"), (F.min("doc_id") < F.max("doc_id")).alias("multi"))
+    named = cut.withColumns({"k1": F.when(F.col("text").isNull(), F.col("check")).otherwise(F.xxhash64("text")), "k2": F.coalesce(F.shiftleft(F.hash("text").cast("long"), 32) + F.crc32(F.encode("text", "UTF-8")), F.lit(0))})
+    stretches = (named.groupBy("r", "k1", "k2").agg(F.first("text").alias("text"), F.min("doc_id").alias("owner"), (F.min("doc_id") < F.max("doc_id")).alias("multi"))
                  .where(F.col("text").isNotNull() | F.col("multi")))
-    exact = stretches.where(F.col("text").isNull()).select("r", "key", F.lit(0).alias("a"), F.lit(LEAST).alias("e"))
+    exact = stretches.where(F.col("text").isNull()).select("r", "k1", "k2", F.lit(0).alias("a"), F.lit(LEAST).alias("e"))
     hits = _search(stretches.where(F.col("text").isNotNull())).unionByName(exact)
-    spans = _salted(named.select("r", "key", "doc_id", "start"), hits, ["r", "key"]).select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("e")).alias("e"))
+    spans = named.select("r", "k1", "k2", "doc_id", "start").join(hits, ["r", "k1", "k2"]).select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("e")).alias("e"))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("a", "e"))),
         F.array().cast("array<struct<a:int,e:int>>"),
