@@ -102,8 +102,8 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 def _salted(rows: DataFrame, met: DataFrame) -> DataFrame:
     """rows joined to met by hash; rows of a hot hash are spread over SALTS tasks, the other side is repeated for each."""
-    salt = lambda df, by: df.withColumn("salt", by.cast("byte"))
-    return (salt(rows, F.pmod("doc_id", F.lit(SALTS))).join(salt(met, F.explode(F.lit(list(range(SALTS))))), ["hash", "salt"]).drop("salt"))
+    return (rows.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("byte"))
+            .join(met.withColumn("salt", F.explode(F.lit(list(range(SALTS))).cast("array<tinyint>"))), ["hash", "salt"]).drop("salt"))
 
 
 def _cut(docs: DataFrame, meetings: DataFrame) -> DataFrame:
