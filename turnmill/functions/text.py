@@ -40,3 +40,10 @@ def number(c: Column) -> Column:
     """A plain decimal number written as text, outer space allowed; else null (NaN, hex and suffixed forms too)."""
     s = strip(c.cast("string"))
     return F.when(s.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
+
+
+def lower_groups(c: Column, regex: str) -> Column:
+    """The text with every match of regex replaced by its first group in lower case."""
+    gaps = F.split(c, regex, -1)
+    words = F.transform(F.regexp_extract_all(c, F.lit(regex), F.lit(1)), F.lower)
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(words, i), F.lit("")))), "")

@@ -44,6 +44,12 @@ def adopt_taxonomy(rows: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         F.array_join("slots", ",").alias("slots"), F.bround("complexity", 4).alias("complexity"), F.bround(F.greatest(F.lit(0.0), 1 - F.col("complexity")), 4).alias("feasibility"))
 
 
+def quadrant(share: Column, complexity: Column, at: float = 0.05, hard: float = 0.5) -> Column:
+    """Where an intent belongs by its share of the volume and its complexity; thresholds are inclusive."""
+    high, complex_ = share >= at, complexity >= hard
+    return F.when(high & ~complex_, "immediate_migration").when(high, "phased_agentic").when(~complex_, "self_service_scripted").otherwise("direct_agent_route")
+
+
 def mean_vector(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
     """The mean of the vectors per key, as `mean`; partial sums per dimension are added before the shuffle."""
     d = df.select(*keys, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -162,3 +162,22 @@ def parent_child_keys(dialogues: DataFrame, snapshots: DataFrame) -> DataFrame:
             .unionByName(keys(t["volumes"], "volume", "taxonomy_id", intent, F.lit("utterance_count")))
             .unionByName(keys(t["thresholds"], "thresholds", "taxonomy_id", intent, F.lit("complexity")))
             .distinct())
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """taxonomy_id, intent_id, path from the root down, depth: for each different node, at any depth.
+
+    A node given more than once has its least parent. A parent that is not there ends the path; a ring ends where the walk has
+    as many steps as there are nodes. The nodes of one taxonomy, one document, are one map.
+    """
+    one = nodes.where(F.col("intent_id").isNotNull()).groupBy("taxonomy_id", "intent_id").agg(F.min("parent_id").alias("parent_id"))
+    maps = one.groupBy("taxonomy_id").agg(F.map_from_entries(F.collect_list(F.struct("intent_id", "parent_id"))).alias("up"))
+    start = F.struct(F.col("x.value").alias("up"), F.col("x.key").alias("path"), F.lit(1).cast("long").alias("depth"))
+
+    def step(a: Column, _: Column) -> Column:
+        known = a["up"].isNotNull() & F.map_contains_key("up", F.coalesce(a["up"], F.lit("")))
+        return F.when(known, F.struct(F.try_element_at("up", a["up"]).alias("up"), F.concat(a["up"], F.lit(" > "), a["path"]).alias("path"), (a["depth"] + 1).alias("depth"))).otherwise(a)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.size("up")), start, step)
+    return (maps.select("taxonomy_id", "up", F.explode(F.map_entries("up")).alias("x")).withColumn("w", walked)
+            .select("taxonomy_id", F.col("x.key").alias("intent_id"), "w.path", "w.depth"))

@@ -6,6 +6,10 @@ before it comes from a small table with a row per bucket. Results equal those of
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +86,43 @@ def top_k(df: DataFrame, key: str, score: Column, ties: list[str], k: int, parts
     w2 = Window.partitionBy(key).orderBy(F.col("_score").desc_nulls_last(), *ties)
     return (s.withColumn("_k", F.row_number().over(w1)).where(F.col("_k") <= k).withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
             .drop("_part", "_k", "_score"))
+
+
+def runs(df: DataFrame, order: str, value: str, width: float) -> DataFrame:
+    """df with `first`: 1 where the row before (by order, over all rows) has another value, else 0; nulls are one value."""
+    d = lagged(df, [], order, [], value, "_previous", width)
+    lowest = df.agg(F.min(order).alias("_lowest"))  # the first row has none before it
+    return (d.crossJoin(F.broadcast(lowest)).withColumn("first", F.when(F.col("_previous").eqNullSafe(F.col(value)) & (F.col(order) > F.col("_lowest")), 0).otherwise(1))
+            .drop("_previous", "_lowest"))
+
+
+def contiguous(df: DataFrame, key: str, index: str, first: int = 0) -> DataFrame:
+    """key, n, contiguous: whether the rows of a key carry each number from `first` on exactly once. Null numbers are no number."""
+    g = df.groupBy(key).agg(F.count("*").alias("n"), F.min(index).alias("lo"), F.max(index).alias("hi"), F.countDistinct(index).alias("different"))
+    ok = (F.col("lo") == first) & (F.col("hi") == F.col("n") + first - 1) & (F.col("different") == F.col("n"))
+    return g.select(key, "n", F.coalesce(ok, F.lit(False)).alias("contiguous"))
+
+
+def set_digest(df: DataFrame, key: str, member: str) -> DataFrame:
+    """key, ids, digest: key, "-" and 16 digits of the sha256 of the key and its distinct members in order. Null members are left out.
+
+    The digest reads its members one after the other; a key's task streams them, so its memory does not grow with them.
+    """
+    d = df.select(F.col(key).cast("string").alias("key"), F.col(member).cast("string").alias("member")).where(F.col("key").isNotNull() & F.col("member").isNotNull()).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, h = None, 0, hashlib.sha256()
+        for b in batches:
+            out = []
+            for k, m in zip(b["key"], b["member"]):
+                if k != now:
+                    if now is not None:
+                        out.append((now, n, f"{now}-{h.hexdigest()[:16]}"))
+                    now, n, h = k, 0, hashlib.sha256(k.encode())
+                h.update(m.encode())
+                n += 1
+            yield pd.DataFrame(out, columns=["key", "ids", "digest"])
+        if now is not None:
+            yield pd.DataFrame([(now, n, f"{now}-{h.hexdigest()[:16]}")], columns=["key", "ids", "digest"])
+
+    return d.repartition("key").sortWithinPartitions("key", "member").mapInPandas(run, "key string, ids long, digest string").withColumnRenamed("key", key)

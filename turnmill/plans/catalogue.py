@@ -88,14 +88,20 @@ def _(t):
     return nested.taxonomy_tables(t)["slots"]
 
 
+_SPACES = "".join(f"||chr({ord(c)})" for c in tx.SPACES)[2:]
+
+
 # --- sources ------------------------------------------------------------------------------------------------------------------
 
-@query("s6_script_turns", "call_records", sql="""
-WITH l AS (SELECT row_id, list_filter(list_transform(string_split_regex(transcript, '\\r?\\n'), lambda x: trim(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160))), lambda x: x <> '') AS ls FROM call_records WHERE transcript IS NOT NULL),
-e AS (SELECT row_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS turn FROM l),
-w AS (SELECT *, coalesce(nullif(regexp_extract(line, '^\\s*(?:\\[\\s*([A-Za-z][A-Za-z ]{0,20})\\s*\\]\\s*[:\\-]?|([A-Za-z][A-Za-z ]{0,20})\\s*(?::|\\s-))\\s*', 1), ''), nullif(regexp_extract(line, '^\\s*(?:\\[\\s*([A-Za-z][A-Za-z ]{0,20})\\s*\\]\\s*[:\\-]?|([A-Za-z][A-Za-z ]{0,20})\\s*(?::|\\s-))\\s*', 2), '')) AS who FROM e)
-SELECT row_id, turn, CASE WHEN who IS NULL THEN 'caller' WHEN lower(trim(who)) IN ('customer','caller','client','user','member') THEN 'caller' WHEN lower(trim(who)) = 'ivr' THEN 'ivr' WHEN lower(trim(who)) IN ('bot','system') THEN 'bot' ELSE 'human_agent' END AS speaker,
-CASE WHEN who IS NULL THEN line ELSE regexp_replace(line, '^\\s*(?:\\[\\s*([A-Za-z][A-Za-z ]{0,20})\\s*\\]\\s*[:\\-]?|([A-Za-z][A-Za-z ]{0,20})\\s*(?::|\\s-))\\s*', '') END AS text FROM w""")
+_SCRIPT_SQL = f"""
+l AS (SELECT key, turn0, list_filter(list_transform(string_split_regex(script, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(x, {_SPACES})), lambda x: x <> '') AS ls FROM scripts),
+e AS (SELECT key, turn0, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM l),
+w AS (SELECT *, lower(coalesce(nullif(regexp_extract(line, '{readers.PREFIX}', 1), ''), nullif(regexp_extract(line, '{readers.PREFIX}', 2), ''))) AS who, trim(regexp_replace(line, '{readers.PREFIX}', ''), {_SPACES}) AS said FROM e),
+turns AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY turn0, n) - 1 AS turn, CASE WHEN who IS NULL OR who IN ('customer','caller','client','user','member') THEN 'caller' WHEN who = 'ivr' THEN 'ivr' WHEN who IN ('bot','system') THEN 'bot' ELSE 'human_agent' END AS speaker, said AS text FROM w WHERE said <> '')
+"""
+
+
+@query("s6_script_turns", "call_records", sql="WITH scripts AS (SELECT row_id AS key, 0 AS turn0, transcript AS script FROM call_records)," + _SCRIPT_SQL + "SELECT key AS row_id, turn, speaker, text FROM turns")
 def _(c):
     return readers.script_turns(c.where(F.col("transcript").isNotNull()), "row_id", "transcript")
 
@@ -154,9 +160,7 @@ def _(m):
 WITH s AS (SELECT conversation_id, CASE WHEN lag(conversation_id) OVER (ORDER BY message_id) IS DISTINCT FROM conversation_id THEN 1 ELSE 0 END AS first FROM message_rows)
 SELECT conversation_id, sum(first)::BIGINT AS runs FROM s GROUP BY 1""")
 def _(m):
-    # ids are numbered in order of arrival: a row begins a run if the row of the id before is of another conversation
-    before = m.select((F.col("message_id") + 1).alias("message_id"), F.col("conversation_id").alias("previous"))
-    return m.select("message_id", "conversation_id").join(before, "message_id", "left").groupBy("conversation_id").agg(F.sum(F.when(F.col("previous").eqNullSafe(F.col("conversation_id")), 0).otherwise(1)).alias("runs"))
+    return ordered.runs(m, "message_id", "conversation_id", 100_000.0).groupBy("conversation_id").agg(F.sum("first").alias("runs"))
 
 
 def _timed(m: DataFrame) -> DataFrame:
@@ -197,10 +201,15 @@ def _(p):
     return p.select("row_id", F.explode(F.regexp_extract_all("instruction", F.lit(r"\{\{([^{}]+)\}\}"), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("rows"))
 
 
-@query("f_naturalise", "instruction_pairs", sql="""
-SELECT row_id, trim(regexp_replace(regexp_replace(instruction, '\\{\\{\\s*([^{}]+?)\\s*\\}\\}', 'the \\1', 'g'), ' {2,}', ' ', 'g')) AS text FROM instruction_pairs WHERE instruction LIKE '%{{%'""")
+_PYTHON_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_MARKUP = r"\{\{" + _PYTHON_SPACE + r"*([^}]+?)" + _PYTHON_SPACE + r"*\}\}"
+
+
+@query("f_naturalise", "instruction_pairs", sql=f"""
+WITH x AS (SELECT row_id, string_split_regex(instruction, '{_MARKUP}') AS gaps, list_transform(regexp_extract_all(instruction, '{_MARKUP}', 1), lambda w: lower(w)) AS words FROM instruction_pairs WHERE instruction IS NOT NULL)
+SELECT row_id, trim(regexp_replace(array_to_string(list_transform(gaps, lambda g, i: g || coalesce(words[i], '')), ''), '{_PYTHON_SPACE}{{2,}}', ' ', 'g'), {_SPACES}) AS text FROM x""")
 def _(p):
-    return p.where(F.col("instruction").contains("{{")).select("row_id", F.trim(F.regexp_replace(F.regexp_replace("instruction", r"\{\{\s*([^{}]+?)\s*\}\}", "the $1"), " {2,}", " ")).alias("text"))
+    return p.where(F.col("instruction").isNotNull()).select("row_id", tx.strip(F.regexp_replace(tx.lower_groups(F.col("instruction"), _MARKUP), _PYTHON_SPACE + "{2,}", " ")).alias("text"))
 
 
 @query("f_vocabulary", "documents", sql="""
@@ -341,14 +350,12 @@ def _(t):
     return n.select("taxonomy_id", "intent_id").distinct().join(parents, ["taxonomy_id", "intent_id"], "left_anti")
 
 
-@query("j6_paths", "taxonomy_snapshots")
+@query("j6_paths", "taxonomy_snapshots", sql=_JSON_SQL + """,
+one AS (SELECT taxonomy_id, id, min(parent) AS parent FROM nodes WHERE id IS NOT NULL GROUP BY 1, 2),
+walk(taxonomy_id, id, up, path, depth) AS (SELECT taxonomy_id, id, parent, id, 1 FROM one UNION ALL SELECT w.taxonomy_id, w.id, o.parent, o.id || ' > ' || w.path, depth + 1 FROM walk w JOIN one o ON o.taxonomy_id = w.taxonomy_id AND o.id = w.up)
+SELECT taxonomy_id, id AS intent_id, max_by(path, depth) AS path, max(depth) AS depth FROM walk GROUP BY 1, 2""")
 def _(t):
-    n = nested.taxonomy_tables(t)["nodes"].select("taxonomy_id", "intent_id", "parent_id").distinct()
-    up = lambda k: n.select("taxonomy_id", F.col("intent_id").alias(f"i{k}"), F.col("parent_id").alias(f"p{k}"))
-    d = n.withColumnRenamed("parent_id", "p0")
-    for k in (1, 2):
-        d = d.join(up(k).withColumnRenamed(f"i{k}", f"p{k - 1}"), ["taxonomy_id", f"p{k - 1}"], "left")
-    return d.select("taxonomy_id", "intent_id", F.concat_ws(" > ", F.col("p1"), F.col("p0"), F.col("intent_id")).alias("path"))
+    return nested.paths(nested.taxonomy_tables(t)["nodes"])
 
 
 @query("j8_texts_to_encode", "documents", "instruction_pairs", sql="SELECT DISTINCT sha256(instruction) AS sha FROM instruction_pairs WHERE instruction IS NOT NULL AND sha256(instruction) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)")
@@ -368,9 +375,22 @@ def _(p):
     return evals.agreement(a, b, "row_id", "intent", "score")
 
 
-@query("j11_nearest_centroid", "embeddings")
+_NEAREST_SQL = """
+WITH m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
+c AS (SELECT label, list(m ORDER BY i) AS v, sqrt(sum(m * m)) AS n FROM m GROUP BY 1),
+s AS (SELECT vec_id, e.label, c.label AS nearest, list_dot_product(e.embedding::DOUBLE[], c.v) / c.n AS score FROM embeddings e CROSS JOIN c),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, nearest) AS k, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, nearest) AS second FROM s),
+p AS (SELECT vec_id, label, nearest, score, score - second AS margin FROM r WHERE k = 1)
+"""
+
+
+def _predicted(e: DataFrame) -> DataFrame:
+    return mining.nearest(e, "embedding", mining.centroids(e, "embedding", "label"), "label")
+
+
+@query("j11_nearest_centroid", "embeddings", sql=_NEAREST_SQL + "SELECT vec_id, label, nearest, round(score, 6) AS score, round(margin, 6) AS margin FROM p")
 def _(e):
-    return mining.nearest(e, "embedding", mining.centroids(e, "embedding", "label"), "label").select("vec_id", "label", "nearest", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+    return _predicted(e).select("vec_id", "label", "nearest", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
 @query("j14_gold_vs_predicted", "instruction_pairs", "intent_dim", sql=f"""
@@ -388,26 +408,34 @@ def _(c):
     return c.groupBy("source", "channel").agg(F.count("*").alias("n"), F.count("transcript").alias("with_transcript"), F.count("turns").alias("with_turns"))
 
 
+def _derived(p: DataFrame) -> DataFrame:
+    """The rows a hierarchy is derived from; the others are held out for evaluation."""
+    return p.where(mining.derivation(F.concat(F.lit("instruction_pairs:"), F.col("row_id"))))
+
+
 @query("a2_labelled_counts", "instruction_pairs", sql="""
 WITH s AS (SELECT coalesce(nullif(trim(regexp_replace(lower(trim(category)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS category, coalesce(nullif(trim(regexp_replace(lower(trim(intent)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS intent
 FROM instruction_pairs WHERE trim(category) <> '' AND trim(intent) <> '' AND ('0x' || substr(sha256('instruction_pairs:' || row_id), 1, 2))::INT % 2 = 0)
 SELECT category, intent, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 5""")
 def _(p):
-    half = p.where(F.conv(F.substring(F.sha2(F.concat(F.lit("instruction_pairs:"), F.col("row_id")), 256), 1, 2), 16, 10).cast("int") % 2 == 0)
-    return mining.labelled_counts(half).select("category", "intent", "n")
+    return mining.labelled_counts(_derived(p)).select("category", "intent", "n")
 
 
-@query("n9_adopt_taxonomy", "instruction_pairs", sql="""
+_TAXONOMY_SQL = """
 WITH s AS (SELECT coalesce(nullif(trim(regexp_replace(lower(trim(category)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS category, coalesce(nullif(trim(regexp_replace(lower(trim(intent)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS intent,
- regexp_extract_all(coalesce(instruction, ''), '\\{\\{\\s*([^{}]+?)\\s*\\}\\}', 1) AS names FROM instruction_pairs WHERE trim(category) <> '' AND trim(intent) <> ''),
+ regexp_extract_all(coalesce(instruction, ''), '\\{\\{\\s*([^{}]+?)\\s*\\}\\}', 1) AS names FROM instruction_pairs WHERE trim(category) <> '' AND trim(intent) <> '' AND ('0x' || substr(sha256('instruction_pairs:' || row_id), 1, 2))::INT % 2 = 0),
 l AS (SELECT category, intent, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 5),
 k AS (SELECT category, intent, list_sort(list_distinct(list(coalesce(nullif(trim(regexp_replace(lower(trim(x)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown')))) AS slots FROM (SELECT category, intent, unnest(names) AS x FROM s) GROUP BY 1, 2),
 f AS (SELECT l.*, coalesce(slots, []) AS slots FROM l LEFT JOIN k USING (category, intent)),
 n AS (SELECT category AS intent_id, 1 AS level, NULL AS parent_id, category AS base, sum(n)::BIGINT AS n, ''::VARCHAR AS slots, 0.25 AS c FROM f GROUP BY category
 UNION ALL SELECT category || '.' || intent, 2, category, intent, n, array_to_string(slots, ','), least(1.0, 0.25 + 0.15 * len(slots)) FROM f)
-SELECT intent_id, level, parent_id, array_to_string(list_transform(string_split(replace(base, '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS label, n AS utterance_count, round_even(n / (SELECT sum(n) FROM f), 6) AS share_of_total, slots, round_even(c, 4)::DOUBLE AS complexity, round_even(greatest(0.0, 1 - c), 4)::DOUBLE AS feasibility FROM n""")
+, nodes AS (SELECT intent_id, level, parent_id, array_to_string(list_transform(string_split(replace(base, '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS label, n AS utterance_count, round_even(n / (SELECT sum(n) FROM f), 6) AS share_of_total, slots, round_even(c, 4)::DOUBLE AS complexity, round_even(greatest(0.0, 1 - c), 4)::DOUBLE AS feasibility FROM n)
+"""
+
+
+@query("n9_adopt_taxonomy", "instruction_pairs", sql=_TAXONOMY_SQL + "SELECT * FROM nodes")
 def _(p):
-    return mining.adopt_taxonomy(p)
+    return mining.adopt_taxonomy(_derived(p))
 
 
 @query("a5_rollup", "instruction_pairs", sql="""
@@ -422,14 +450,10 @@ def _(d):
     return g.withColumn("share", F.bround(F.col("chars") / F.sum("chars").over(Window.partitionBy(F.lit(1))), 6))
 
 
-@query("a9_quadrants", "documents", sql="""
-WITH g AS (SELECT source, count(*) / (SELECT count(*) FROM documents) AS share, avg(n_chars) / 3000 AS complexity FROM documents GROUP BY 1)
-SELECT source, CASE WHEN share >= 0.05 AND complexity < 0.5 THEN 'high_simple' WHEN share >= 0.05 THEN 'high_complex' WHEN complexity < 0.5 THEN 'low_simple' ELSE 'low_complex' END AS quadrant FROM g""")
-def _(d):
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    g = d.groupBy("source").agg(F.count("*").alias("n"), (F.avg("n_chars") / 3000).alias("c")).withColumn("share", F.col("n") / total)
-    big, easy = F.col("share") >= 0.05, F.col("c") < 0.5
-    return g.select("source", F.when(big & easy, "high_simple").when(big, "high_complex").when(easy, "low_simple").otherwise("low_complex").alias("quadrant"))
+@query("a9_quadrants", "instruction_pairs", sql=_TAXONOMY_SQL + """SELECT intent_id, CASE WHEN share_of_total >= 0.05 AND complexity < 0.5 THEN 'immediate_migration' WHEN share_of_total >= 0.05 THEN 'phased_agentic'
+WHEN complexity < 0.5 THEN 'self_service_scripted' ELSE 'direct_agent_route' END AS quadrant, round_even(least(utterance_count / 200, 1), 4) AS confidence FROM nodes WHERE level = 2""")
+def _(p):
+    return mining.adopt_taxonomy(_derived(p)).where("level = 2").select("intent_id", mining.quadrant(F.col("share_of_total"), F.col("complexity")).alias("quadrant"), F.bround(F.least(F.col("utterance_count") / 200, F.lit(1.0)), 4).alias("confidence"))
 
 
 @query("a11_mean_vectors", "embeddings", sql="""
@@ -455,27 +479,24 @@ def _(e):
     return evals.latency(e, "event_type", "value")
 
 
-@query("a20_per_label", "embeddings", sql="SELECT label, count(*) AS total, count(*) FILTER (label = vec_id % 10) AS exact, round_even(count(*) FILTER (label = vec_id % 10) / count(*), 4) AS accuracy FROM embeddings GROUP BY 1")
+@query("a20_per_label", "embeddings", sql=_NEAREST_SQL + "SELECT label, count(*) AS total, count(*) FILTER (label = nearest) AS exact, round_even(count(*) FILTER (label = nearest) / count(*), 4) AS accuracy FROM p GROUP BY 1")
 def _(e):
-    return evals.per_label(e.withColumn("predicted", (F.col("vec_id") % 10).cast("int")), "label", "predicted")
+    return evals.per_label(_predicted(e), "label", "nearest")
 
 
-@query("a20_confusions", "embeddings", sql="SELECT label AS expected, (vec_id % 10)::INT AS predicted, count(*) AS n FROM embeddings WHERE label <> vec_id % 10 GROUP BY 1, 2")
+@query("a20_confusions", "embeddings", sql=_NEAREST_SQL + "SELECT label AS expected, nearest AS predicted, count(*) AS n FROM p WHERE label <> nearest GROUP BY 1, 2")
 def _(e):
-    return evals.confusions(e.withColumn("predicted", (F.col("vec_id") % 10).cast("int")), "label", "predicted")
+    return evals.confusions(_predicted(e), "label", "nearest")
 
 
-@query("a21_digest", "call_records", sql="SELECT source, count(*) AS ids, (sum(('0x' || substr(sha256(id), 1, 12))::BIGINT) % 1000000007)::BIGINT AS digest FROM (SELECT DISTINCT source, id FROM call_records WHERE id IS NOT NULL) GROUP BY 1")
+@query("a21_digest", "call_records", sql="SELECT source, count(*) AS ids, source || '-' || substr(sha256(source || string_agg(id, '' ORDER BY id)), 1, 16) AS digest FROM (SELECT DISTINCT source, id FROM call_records WHERE id IS NOT NULL) GROUP BY 1")
 def _(c):
-    # a digest of the set of ids that needs no sorted list in one place: the sum of their hashes
-    ids = c.where(F.col("id").isNotNull()).select("source", "id").distinct()
-    h = F.conv(F.substring(F.sha2("id", 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return ids.groupBy("source").agg(F.count("*").alias("ids"), F.pmod(F.sum(h), F.lit(1000000007)).cast("long").alias("digest"))
+    return ordered.set_digest(c, "source", "id")
 
 
-@query("t3_worst_labels", "embeddings", sql="SELECT label, total, exact, accuracy FROM (SELECT label, count(*) AS total, count(*) FILTER (label = vec_id % 10) AS exact, round_even(count(*) FILTER (label = vec_id % 10) / count(*), 4) AS accuracy FROM embeddings GROUP BY 1) ORDER BY accuracy, total DESC, label LIMIT 3")
+@query("t3_worst_labels", "embeddings", sql=_NEAREST_SQL + "SELECT label, count(*) AS total, count(*) FILTER (label = nearest) AS exact, round_even(count(*) FILTER (label = nearest) / count(*), 4) AS accuracy FROM p GROUP BY 1 ORDER BY accuracy, total DESC, label LIMIT 3")
 def _(e):
-    return evals.per_label(e.withColumn("predicted", (F.col("vec_id") % 10).cast("int")), "label", "predicted").orderBy("accuracy", F.desc("total"), "label").limit(3)
+    return evals.per_label(_predicted(e), "label", "nearest").orderBy("accuracy", F.desc("total"), "label").limit(3)
 
 
 @query("a27_order_latency", "orders", "lineitem", sql="""
@@ -515,12 +536,13 @@ def _(e):
     return ordered.running_sum(t, ["user_id"], "at", ["event_id"], F.when(F.col("event_type") == "error", 1).otherwise(0), "errors", 86400.0 * 30).select("event_id", F.col("errors").cast("long").alias("errors"))
 
 
-@query("w3_contiguous", "call_records", sql="SELECT row_id, len(turns) AS n, list_bool_and(list_transform(turns, lambda t: t.text IS NOT NULL)) AS all_said FROM call_records WHERE len(turns) > 0")
-def _(c):
-    return c.where(F.size("turns") > 0).select("row_id", F.size("turns").cast("long").alias("n"), F.forall("turns", lambda t: t["text"].isNotNull()).alias("all_said"))
+@query("w3_contiguous", "lineitem", sql="SELECT l_orderkey, count(*) AS n, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY 1")
+def _(li):
+    return ordered.contiguous(li, "l_orderkey", "l_linenumber", first=1)
 
 
-@query("t1_exemplars", "embeddings")
+@query("t1_exemplars", "embeddings", sql=_NEAREST_SQL + """, o AS (SELECT s.vec_id, s.label, round(s.score / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 9) AS score FROM s JOIN embeddings e USING (vec_id) WHERE s.label = s.nearest)
+SELECT label, rank, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM o) WHERE rank <= 8""")
 def _(e):
     j = e.join(mining.centroids(e, "embedding", "label"), "label")
     return ordered.top_k(j, "label", F.round(vectors.dot(vectors.unit(F.col("embedding")), F.col("centroid")), 9), ["vec_id"], 8).select("label", "rank", "vec_id")

@@ -8,14 +8,17 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_slug, is_blank, number, strip
 
-# Speakers of scripts and dialogue files that are callers.
+# Speakers of scripts and dialogue files that are callers, and the words that name a speaker before a line.
 CALLERS = ("customer", "caller", "client", "user", "member")
-PREFIX = r"^\s*(?:\[\s*([A-Za-z][A-Za-z ]{0,20})\s*\]\s*[:\-]?|([A-Za-z][A-Za-z ]{0,20})\s*(?::|\s-))\s*"
+SPEAKERS = "agent|advisor|rep|representative|operator|bot|ivr|system|customer|caller|client|user|member"
+#: A speaker in brackets needs no separator, a bare one a colon, hyphen or en dash.
+PREFIX = rf"(?i)^\s*(?:[\[(]\s*({SPEAKERS})\s*[\])]\s*[:\-\x{{2013}}]?\s*|({SPEAKERS})\s*[:\-\x{{2013}}]\s*)"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def role_of(speaker: Column) -> Column:
@@ -35,12 +38,20 @@ def json_objects(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(parts).alias("idx", "x")).select("file", "idx", F.col("x.v").alias("v")).where(F.substring(F.schema_of_variant("v"), 1, 6) == "OBJECT")
 
 
+def script_lines(script: Column) -> Column:
+    """array of (speaker, text): the lines of a script that say something; without a speaker's name before it the caller speaks."""
+    lines = F.filter(F.transform(F.split(script, LINE_END), strip), lambda x: x != "")
+
+    def turn(line: Column) -> Column:
+        who = F.coalesce(F.nullif(F.regexp_extract(line, PREFIX, 1), F.lit("")), F.nullif(F.regexp_extract(line, PREFIX, 2), F.lit("")))
+        return F.struct(F.when(who.isNull(), "caller").otherwise(role_of(who)).alias("speaker"), strip(F.regexp_replace(line, PREFIX, "")).alias("text"))
+
+    return F.filter(F.transform(lines, turn), lambda t: t["text"] != "")
+
+
 def script_turns(df: DataFrame, key: str, script: str) -> DataFrame:
-    """key, turn, speaker, text: lines of a script; a speaker before ":", "-" or in brackets, no speaker is the caller."""
-    lines = F.filter(F.transform(F.split(script, r"\r?\n"), strip), lambda x: x != "")
-    d = df.select(F.col(key), F.posexplode(lines).alias("turn", "line"))
-    who = F.coalesce(F.nullif(F.regexp_extract("line", PREFIX, 1), F.lit("")), F.nullif(F.regexp_extract("line", PREFIX, 2), F.lit("")))
-    return d.select(key, "turn", F.when(who.isNull(), "caller").otherwise(role_of(who)).alias("speaker"), F.when(who.isNull(), F.col("line")).otherwise(F.regexp_replace("line", PREFIX, "")).alias("text"))
+    """key, turn, speaker, text: see script_lines."""
+    return df.select(F.col(key), F.posexplode(script_lines(F.col(script))).alias("turn", "t")).select(key, "turn", "t.speaker", "t.text")
 
 
 def labelled_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +62,10 @@ def labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     first = lambda names: F.coalesce(*[F.when(~is_blank(F.col(cols[n])), F.col(cols[n])) for n in names if n in cols], F.lit(None).cast("string"))
     said = first(("instruction", "utterance", "query", "text"))
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    d = df.select(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), stem.alias("stem"), said.alias("said"), first(("response",)).alias("response"), first(("category",)).alias("category"), first(("intent",)).alias("intent"))
+    # a file is read by one task, one row after the other: its rows count from the first one's number
+    at = Window.partitionBy("file")
+    d = df.select(F.monotonically_increasing_id().alias("id"), F.input_file_name().alias("file"), stem.alias("stem"), said.alias("said"), first(("response",)).alias("response"), first(("category",)).alias("category"), first(("intent",)).alias("intent"))
+    d = d.withColumn("row", F.col("id") - F.min("id").over(at))
     turns = F.array_compact(F.array(F.struct(F.lit("caller").alias("speaker"), F.col("said").alias("text")), F.when(F.col("response").isNotNull(), F.struct(F.lit("human_agent").alias("speaker"), F.col("response").alias("text")))))
     return (d.where(F.col("said").isNotNull()).select(F.concat_ws(":", "stem", "row").alias("record_id"), ascii_slug(F.col("category")).alias("category"), ascii_slug(F.col("intent")).alias("intent"), F.posexplode(turns).alias("turn", "t"))
             .select("record_id", "turn", "t.speaker", "t.text", "category", "intent"))
