@@ -47,3 +47,18 @@ def lower_groups(c: Column, regex: str) -> Column:
     gaps = F.split(c, regex, -1)
     words = F.transform(F.regexp_extract_all(c, F.lit(regex), F.lit(1)), F.lower)
     return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(words, i), F.lit("")))), "")
+
+
+def first_present(*columns: str) -> Column:
+    """The first of the columns that says something, without outer white space; null if none does."""
+    return F.coalesce(*[F.nullif(strip(F.col(c)), F.lit("")) for c in columns])
+
+
+def is_slug(c: Column, most: int = 128) -> Column:
+    """Lower-case words of letters and digits joined by single ". _ -", at most `most` long; false for null."""
+    return F.coalesce(c.rlike(r"^[a-z0-9]+([._-][a-z0-9]+)*$") & (F.length(c) <= most), F.lit(False))
+
+
+def parent_slug(c: Column) -> Column:
+    """What stands before the last dot; null at the top."""
+    return F.when(F.contains(c, F.lit(".")), F.regexp_replace(c, r"\.[^.]*$", ""))

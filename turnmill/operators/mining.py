@@ -110,3 +110,10 @@ def pair_overlap(docs: DataFrame, key: str, words: str, pairs: int, seed: int =
     w = Window.partitionBy("_slot").orderBy("_h", key)
     return (d.withColumn("_other", F.lead(words).over(w)).where(F.col("_other").isNotNull())
             .agg(F.count("*").alias("n_pairs"), F.avg(set_cosine(F.col(words), F.col("_other"))).alias("mean_overlap")))
+
+
+def coverage(df: DataFrame, assigned: Column, filler: Column) -> DataFrame:
+    """assigned, meant, coverage: filler is neither covered nor missed; null conditions are false."""
+    real = ~F.coalesce(filler, F.lit(False))
+    d = df.agg(F.count_if(real & F.coalesce(assigned, F.lit(False))).alias("assigned"), F.count_if(real).alias("meant"))
+    return d.withColumn("coverage", F.bround(F.col("assigned") / F.nullif(F.col("meant"), F.lit(0)), 6))

@@ -181,3 +181,24 @@ def paths(nodes: DataFrame) -> DataFrame:
     walked = F.aggregate(F.sequence(F.lit(1), F.size("up")), start, step)
     return (maps.select("taxonomy_id", "up", F.explode(F.map_entries("up")).alias("x")).withColumn("w", walked)
             .select("taxonomy_id", F.col("x.key").alias("intent_id"), "w.path", "w.depth"))
+
+
+def leaves(df: DataFrame, keys: list[str], payload: str, depth: int = 32) -> DataFrame:
+    """keys, path, value: the scalar leaves of a JSON payload, as text; list items share their list's path with "[]" behind it.
+
+    Unreadable payloads and JSON nulls give no row. Levels are unfolded one after the other in the projection; more than `depth` of them fail.
+    """
+    v = F.try_parse_json(payload)
+    d = df.select(*keys, F.explode(F.array(F.struct(F.lit("$").alias("path"), v.alias("v")))).alias("x")).select(*keys, "x.path", "x.v").where(F.col("v").isNotNull())
+
+    def below(path: Column, v: Column) -> Column:
+        fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(F.concat(path, F.lit("[]")).alias("path"), e.alias("v")))
+        return F.coalesce(fields, items, F.array(F.struct(path.alias("path"), v.alias("v"))))
+
+    # objects and lists are unfolded until none is left: a fold over the levels of one payload
+    all_ = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array(F.struct(F.col("path"), F.col("v"))), lambda acc, _: F.flatten(F.transform(acc, lambda x: below(x["path"], x["v"]))))
+    out = d.select(*keys, F.inline(all_))
+    deep = F.schema_of_variant("v")
+    text = F.when(deep.startswith("OBJECT") | deep.startswith("ARRAY"), F.when(deep.isin("OBJECT<>", "ARRAY<VOID>"), None).otherwise(F.raise_error(F.lit(f"more than {depth} levels")).cast("string"))).otherwise(F.try_variant_get("v", "$", "string"))
+    return out.select(*keys, "path", text.alias("value")).where(F.col("value").isNotNull())

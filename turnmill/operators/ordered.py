@@ -126,3 +126,16 @@ def set_digest(df: DataFrame, key: str, member: str) -> DataFrame:
             yield pd.DataFrame([(now, n, f"{now}-{h.hexdigest()[:16]}")], columns=["key", "ids", "digest"])
 
     return d.repartition("key").sortWithinPartitions("key", "member").mapInPandas(run, "key string, ids long, digest string").withColumnRenamed("key", key)
+
+
+def latest(df: DataFrame, keys: list[str], order: str, ties: list[str], value: Column, name: str, width: float) -> DataFrame:
+    """df with `name`: the last `value` that is not null from the key's first row up to this one."""
+    b = df.withColumn("_bucket", F.coalesce(F.floor(F.col(order) / width), F.lit(-(2**62))).cast("long")).withColumn("_v", value)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(F.col(order).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = b.withColumn("_own", F.last("_v", ignorenulls=True).over(w))
+    place = F.struct(F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))), *ties)
+    ends = b.groupBy(*keys, "_bucket").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_l"))
+    carried = ends.select(*keys, "_bucket", F.last("_l", ignorenulls=True).over(_before(keys)).alias("_carry"))
+    on = [inner[k].eqNullSafe(carried[k]) for k in keys] + [inner["_bucket"] == carried["_bucket"]]
+    return (inner.join(carried, on).select(*[inner[c] for c in inner.columns], carried["_carry"])
+            .withColumn(name, F.coalesce("_own", "_carry")).drop("_bucket", "_v", "_own", "_carry"))

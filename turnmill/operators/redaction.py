@@ -135,3 +135,47 @@ def record_verdicts(redacted: DataFrame) -> DataFrame:
 def detokenize(text: Column, vault: Column) -> Column:
     """Known tokens of the map put back; unknown ones stay."""
     return F.aggregate(F.map_entries(vault), text, lambda t, e: F.replace(t, e["key"], e["value"]))
+
+
+def tokens_in(text: Column) -> Column:
+    """The placeholder tokens of a text, without brackets, in order, repeated ones too."""
+    return F.regexp_extract_all(text, F.lit(r"\[([A-Z0-9_]+_\d+)\]"), F.lit(1))
+
+
+def unknown_tokens(text: Column, known: Column) -> Column:
+    """Sorted distinct tokens of a text that are not among the known ones."""
+    return F.array_sort(F.array_except(tokens_in(text), known))
+
+
+def redact_value(value: Column, label: str, n: int = 1) -> Column:
+    """A whole value replaced whatever it says: text, status and its one span (score 1); null stays null and has none."""
+    span = F.struct(F.lit(0).alias("s"), F.length(value).alias("e"), F.lit(1.0).alias("score"), F.lit(label).alias("entity"), F.lit("manual").alias("pattern"))
+    return F.struct(F.when(value.isNotNull(), F.lit(f"[{label.upper()}_{n}]")).alias("text"), F.lit("CLEAN").alias("status"), F.when(value.isNotNull(), span).alias("span"))
+
+
+# Statuses from the strongest to the weakest.
+STATUSES = ("CLEAN", "UNVERIFIED", "DIRTY")
+
+
+def weakest(status: Column) -> Column:
+    """Aggregate: the weakest status of the parts; null and unknown ones count as DIRTY."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*[x for i, s in enumerate(STATUSES) for x in (F.lit(s), F.lit(i))]), status), F.lit(len(STATUSES) - 1))
+    return F.get(F.lit(list(STATUSES)), F.max(rank))
+
+
+def merged_patterns(base: tuple[Pattern, ...], added: tuple[Pattern, ...], leaks_: tuple[str, ...] = ()) -> tuple[Pattern, ...]:
+    """The base set and what is added to it; a name used twice or a leak name without pattern is an error."""
+    names = [p.name for p in (*base, *added)]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"patterns may not be shadowed: {twice}")
+    missing = sorted(set(leaks_) - set(names))
+    if missing:
+        raise ValueError(f"no pattern for {missing}")
+    return (*base, *added)
+
+
+def run_stats(verdicts: DataFrame) -> DataFrame:
+    """seen, emitted, quarantined, rate (4 places), entities of a run."""
+    q = F.count_if("quarantined")
+    return verdicts.agg(F.count("*").alias("seen"), F.count_if(~F.col("quarantined")).alias("emitted"), q.alias("quarantined"), F.coalesce(F.bround(q / F.nullif(F.count("*"), F.lit(0)), 4), F.lit(0.0)).alias("rate"), F.coalesce(F.sum("entities"), F.lit(0)).alias("entities"))

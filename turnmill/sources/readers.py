@@ -110,3 +110,116 @@ def call_logs(spark: SparkSession, path: str, source: str | None = None) -> Data
     """Written call logs read back; a source prunes the partitions that are read."""
     df = spark.read.option("basePath", path).json(path)
     return df.where(F.col("source") == source) if source else df
+
+
+# Where conversation and dialogue files keep their parts, by order of preference.
+TURN_KEYS = ("turns", "messages", "dialogue", "conversation", "utterances")
+TEXT_KEYS = ("text", "utterance", "content", "message", "value")
+SPEAKER_KEYS = ("speaker", "role", "from", "agent")
+DIALOGUE_KEYS = {
+    "turns": ("turns", "utterances", "dialogue", "segments"),
+    "text": ("text", "transcript", "utterance", "content"),
+    "speaker": ("speaker", "role", "channel", "party"),
+    "start": ("start_ms", "start", "begin", "start_time"),
+    "end": ("end_ms", "end", "stop", "end_time"),
+}
+# Callers in dialogue files and in mapped CSV files.
+DIALOGUE_CALLERS = ("customer", "caller", "client", "user", "a", "0", "ch0")
+MAPPED_CALLERS = ("customer", "caller", "client", "user", "a", "0")
+# Phrases an agent or a machine says.
+AGENT_CUES = (
+    r"thank\s+you\s+for\s+(calling|choosing|holding|waiting|your\s+patience)",
+    r"thanks\s+for\s+(calling|holding|waiting)",
+    r"(your|this)\s+calls?\s+(may|will|is|are)\s+(be\s+)?(being\s+)?(monitored|recorded)",
+    r"for\s+quality\s+(and|&)\s+(training|assurance)",
+    r"(how|what)\s+(can|may)\s+i\s+(help|assist|direct)",
+    r"is\s+there\s+anything\s+else\s+i\s+can\s+(help|do|assist)",
+    r"if\s+you\s+know\s+your\s+party.s\s+extension",
+    r"please\s+(press|dial|stay\s+on\s+the\s+line|hold|continue\s+to\s+hold)",
+    r"press\s+(one|two|three|four|five|six|seven|eight|nine|zero|\d)\b",
+    r"(one\s+moment|just\s+a\s+moment|bear\s+with\s+me)",
+    r"let\s+me\s+(check|pull\s+up|look|transfer|connect|verify)",
+    r"may\s+i\s+(have|get|ask|please\s+have)\s+your",
+    r"can\s+i\s+(have|get)\s+your\s+(name|number|date)",
+    r"i\s+apologi[sz]e\s+for\s+(the|any)",
+    r"to\s+better\s+(assist|serve)\s+you",
+    r"my\s+name\s+is\s+\[?\w+.{0,24}?\b(from|with|calling\s+from)\b",
+    r"you.ve\s+reached\s+(the|our|\[)",
+    r"all\s+(of\s+)?our\s+(agents|representatives)\s+are",
+    r"have\s+a\s+(great|nice|good|wonderful)\s+(day|one|rest)",
+)
+
+
+def _probed(item: Column, keys: tuple[str, ...]) -> Column:
+    """The first key whose value says something, as text."""
+    return F.coalesce(*[F.nullif(strip(F.try_variant_get(item, f"$.{k}", "string")), F.lit("")) for k in keys])
+
+
+def _records(v: Column) -> Column:
+    """Objects of a VARIANT: itself or those of a list."""
+    each = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    return F.filter(each, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
+
+
+def _items(df: DataFrame, key: str, v: Column, keys: tuple[str, ...]) -> DataFrame:
+    """key, pos, item: the items of the first of the keys that holds a list."""
+    d = df.select(key, v.alias("v")).select(key, F.explode(_records(F.col("v"))).alias("r"))
+    lists = F.coalesce(*[F.try_variant_get("r", f"$.{k}", "array<variant>") for k in keys])
+    return d.select(key, F.posexplode(lists).alias("pos", "item"))
+
+
+def structured_turns(df: DataFrame, key: str, v: Column) -> DataFrame:
+    """key, pos, line, speaker, text: turns of a VARIANT by key probing; an item that is a string is a script of lines.
+
+    Items of other kinds and without text give no row, unreadable payloads neither.
+    """
+    i = _items(df, key, v, TURN_KEYS)
+    is_object = F.try_variant_get("item", "$", "map<string,variant>").isNotNull()
+    text = _probed(F.col("item"), TEXT_KEYS)
+    one = F.array(F.struct(F.coalesce(role_of(_probed(F.col("item"), SPEAKER_KEYS)), F.lit("human_agent")).alias("speaker"), text.alias("text")))
+    said = F.when(is_object & text.isNotNull(), one).when(F.schema_of_variant("item") == "STRING", script_lines(F.try_variant_get("item", "$", "string")))
+    return i.select(key, "pos", F.posexplode(said).alias("line", "t")).select(key, "pos", "line", "t.speaker", "t.text")
+
+
+def _ms(item: Column, keys: tuple[str, ...]) -> Column:
+    """Milliseconds of the first key that is there: as they are behind "_ms" and above 1000, else seconds. Negative and no times are null."""
+    out = F.lit(None).cast("long")
+    for k in reversed(keys):
+        v = number(F.try_variant_get(item, f"$.{k}", "string"))
+        ms = v.cast("long") if k.endswith("_ms") else F.when(v > 1000, v.cast("long")).otherwise(F.bround(v * 1000).cast("long"))
+        out = F.when(F.try_variant_get(item, f"$.{k}", "variant").isNotNull(), F.when(v >= 0, ms)).otherwise(out)
+    return out
+
+
+def dialogue_turns(df: DataFrame, key: str, v: Column) -> DataFrame:
+    """key, pos, speaker, text, start_ms, end_ms of dialogue objects; reversed times are exchanged, items without text dropped."""
+    k = DIALOGUE_KEYS
+    item = F.col("item")
+    d = _items(df, key, v, k["turns"]).where(F.try_variant_get("item", "$", "map<string,variant>").isNotNull())
+    who = F.coalesce(*[F.try_variant_get(item, f"$.{n}", "string") for n in k["speaker"]])
+    d = d.select(key, F.col("pos").cast("long").alias("pos"), F.when(F.lower(strip(who)).isin(*DIALOGUE_CALLERS), "caller").otherwise("human_agent").alias("speaker"), _probed(item, k["text"]).alias("text"), _ms(item, k["start"]).alias("s"), _ms(item, k["end"]).alias("e"))
+    swap = F.coalesce(F.col("e") < F.col("s"), F.lit(False))
+    return d.where(F.col("text").isNotNull()).select(key, "pos", "speaker", "text", F.when(swap, F.col("e")).otherwise(F.col("s")).alias("start_ms"), F.when(swap, F.col("s")).otherwise(F.col("e")).alias("end_ms"))
+
+
+def mapped_speaker(speaker: Column) -> Column:
+    return F.when(F.lower(strip(speaker)).isin(*MAPPED_CALLERS), "caller").otherwise("human_agent")
+
+
+def whole_ms(c: Column) -> Column:
+    """A time written as a number, cut to whole milliseconds; negative and unreadable ones are null."""
+    v = number(c).cast("long")
+    return F.when(v >= 0, v)
+
+
+def cued_speaker(text: Column) -> Column:
+    """human_agent where a phrase of agents or machines stands, else caller."""
+    return F.when(F.coalesce(text.rlike("(?i)" + "|".join(AGENT_CUES)), F.lit(False)), "human_agent").otherwise("caller")
+
+
+def source_reader(name: str):
+    """The reader of a kind of source; an unknown kind names those there are."""
+    known = {"conversation_json": json_objects, "labelled_csv": labelled_csv, "mapped_csv": mapped_csv, "dialogue_json": json_objects, "word_timed_zip": zipped_words, "call_logs": call_logs}
+    if name not in known:
+        raise ValueError(f"unknown source {name!r}; known: {sorted(known)}")
+    return known[name]
