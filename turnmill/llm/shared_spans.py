@@ -181,7 +181,9 @@ def _search(stretches: DataFrame) -> DataFrame:
         rows = [x for x in rows if x[4] and len(x[2]) >= LEAST]
         return pd.DataFrame({"r": np.array([x[0] for x in rows], np.int64), "k1": np.array([x[1][0] for x in rows], np.int64), "k2": np.array([x[1][1] for x in rows], np.int64), "a": np.zeros(len(rows), np.int32), "e": np.array([len(x[2]) for x in rows], np.int32)})
 
-    return stretches.repartition("r").sortWithinPartitions("r").mapInPandas(run, schema)
+    # few bytes for much work: the number of tasks is given, so that adaptive execution doesn't join them by bytes
+    tasks = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stretches.repartition(tasks, "r").sortWithinPartitions("r").mapInPandas(run, schema)
 
 
 def shared_passages(documents: DataFrame) -> DataFrame:
