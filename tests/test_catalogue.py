@@ -1,7 +1,7 @@
 import pytest
 from sqlcheck import DATA, same
 
-from turnmill.plans import catalogue
+from turnmill.plans import records as catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))

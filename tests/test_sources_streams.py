@@ -25,9 +25,16 @@ def test_csv_sources(spark, tmp_path):
     assert [(r["speaker"], r["text"], r["start_ms"], r["end_ms"]) for r in rows] == [("human_agent", "hi", None, None), ("ivr", "x", 12, None)]
 
 
+def test_row_numbers_count_per_file(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"f{k:02}.csv").write_text("instruction,intent\n" + f"ask {k},x\n,y\nmore {k},z\n")
+    got = {r["record_id"]: r["text"] for r in readers.labelled_csv(spark, str(tmp_path)).collect()}
+    assert got == {f"f{k:02}:{n}": f"{w} {k}" for k in range(12) for n, w in ((0, "ask"), (2, "more"))}
+
+
 def test_scripts_and_zips(spark, tmp_path):
-    df = spark.createDataFrame([(1, "Agent: hi\n\n[Caller] hello\nCUSTOMER - yes\nwell"), (2, None)], "i long, s string")
-    assert [(r["speaker"], r["text"]) for r in readers.script_turns(df, "i", "s").orderBy("turn").collect()] == [("human_agent", "hi"), ("caller", "hello"), ("caller", "yes"), ("caller", "well")]
+    df = spark.createDataFrame([(1, "Agent: hi\n\n[Caller] hello\n(bot) – beep\nCUSTOMER - yes\n[laughter] ha\nuser says no"), (2, None)], "i long, s string")
+    assert [(r["speaker"], r["text"]) for r in readers.script_turns(df, "i", "s").orderBy("turn").collect()] == [("human_agent", "hi"), ("caller", "hello"), ("bot", "beep"), ("caller", "yes"), ("caller", "[laughter] ha"), ("caller", "user says no")]
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("a.json", json.dumps({"words": [{"text": "hi", "start": 0, "end": 5}, {"text": " "}, 3]}))
         z.writestr("b.json", "{")
@@ -45,7 +52,10 @@ def test_sinks(spark, tmp_path):
     assert readers.call_logs(spark, str(tmp_path / "o"), "s").count() == 29
     assert spark.read.json(str(tmp_path / "o/_quarantine")).columns == ["reason", "record_id"]
     with pytest.raises(ValueError):
-        sinks.write_call_logs(df.limit(2), str(tmp_path / "p"), "parquet")
+        sinks.write_call_logs(df.limit(2), str(tmp_path / "o"))
+    with pytest.raises(ValueError):
+        sinks.write_call_logs(df.limit(0), str(tmp_path / "o"))
+    assert readers.call_logs(spark, str(tmp_path / "o"), "s").count() == 29  # what was there stays
     with pytest.raises(ValueError):
         sinks.guard(df.withColumn("Text", F.lit("x")))
 
@@ -87,3 +97,46 @@ def test_speech_turns_stream_equals_batch(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("speech").collect()) == want
+
+
+def test_pushed_rows_come_once(spark, tmp_path):
+    d = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z"), (None, 1, "n")], "id string, at int, v string")
+    assert sinks.push_once(d, str(tmp_path / "t"), "id", "at") == 2 and sinks.push_once(d, str(tmp_path / "t"), "id", "at") == 0
+    assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["y", "z"]
+
+
+def test_taxonomies_are_one_object_each(spark, tmp_path):
+    n = spark.createDataFrame([("t", "b", 2), ("t", "a", 1), ("u", "c", 1)], "taxonomy_id string, intent_id string, level int")
+    sinks.write_taxonomy(n, str(tmp_path / "x"))
+    assert {r["taxonomy_id"]: [x["intent_id"] for x in r["nodes"]] for r in spark.read.json(str(tmp_path / "x")).collect()} == {"t": ["a", "b"], "u": ["c"]}
+
+
+def test_generated_records_are_the_same_and_their_cards_valid(spark):
+    from turnmill.functions.validators import luhn
+    from turnmill.sources.generated import conversations
+
+    a, b = conversations(spark, 300, 5, pii=0.5), conversations(spark, 10, 5, pii=0.5, limit=300).repartition(7)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == 900
+    told = a.where("text LIKE '%my card is%'").select(luhn(F.substring_index("text", " ", -1)).alias("ok")).collect()
+    assert 90 < len(told) < 210 and all(r["ok"] for r in told)
+    assert conversations(spark, 300, 6).exceptAll(conversations(spark, 300, 5)).count() > 0
+
+
+def test_audio(spark):
+    import struct
+
+    from turnmill.streaming import audio
+
+    d = spark.createDataFrame([(bytearray(struct.pack("<4h", 16384, -16384, 16384, -16384) + b"\1"),), (bytearray(),), (None,)], "pcm binary")
+    assert [r[0] for r in d.select(audio.rms(F.col("pcm"))).collect()] == [0.5, 0.0, None]
+    assert [(r["frame"], bytes(r["chunk"])) for r in audio.chunks(spark.createDataFrame([(bytearray(b"abcde"),), (None,)], "b binary"), "b", 2).orderBy("frame").collect()] == [(0, b"ab"), (1, b"cd"), (2, b"e")]
+    frames = audio.scripted_frames(spark, [(40, 200, 200)]).withColumn("session", F.lit("s"))
+    assert [tuple(r) for r in sessions.speech_turns(frames).collect()] == [("s", 40, 240)]
+    e = spark.createDataFrame([("s", 1, 300), ("s", 2, 100), ("s", 3, None)], "session string, at_ms int, played_ms int")
+    assert [(r["at_ms"], r["action"]) for r in audio.may_interrupt(e).orderBy("step").collect()] == [(1, "clear_playback"), (1, "cancel_speech"), (1, "cancel_turn")]
+    assert audio.may_interrupt(e, enabled=False).count() == 0
+
+
+def test_unknown_source_names_the_known():
+    with pytest.raises(ValueError, match="labelled_csv"):
+        readers.source_reader("tape")

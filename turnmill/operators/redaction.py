@@ -74,9 +74,23 @@ def pattern_spans(text: Column, p: Pattern) -> Column:
     return F.when(text.rlike(p.regex), found).otherwise(empty)
 
 
+def _needs(p: Pattern) -> str | None:
+    """A character without which a pattern can't match."""
+    return "@" if "@" in p.regex else "://" if "://" in p.regex else r"\d" if r"\d" in p.regex else None
+
+
 def detect(text: Column, patterns: tuple[Pattern, ...] = PATTERNS, min_score: float = MIN_SCORE) -> Column:
-    """All spans at or above min_score, before overlaps are settled; patterns under it are not run at all."""
-    return F.concat(*[pattern_spans(text, p) for p in patterns if p.score >= min_score])
+    """All spans at or above min_score, before overlaps are settled; patterns under it are not run at all.
+
+    One cheap look at a text decides whether the patterns that need a digit (or "@", "://") are tried.
+    """
+    used = [p for p in patterns if p.score >= min_score]
+    parts = []
+    for need in dict.fromkeys(_needs(p) for p in used):
+        spans = F.concat(*[pattern_spans(text, p) for p in used if _needs(p) == need])
+        guard = text.rlike(need) if need == r"\d" else text.contains(need) if need else None
+        parts.append(spans if guard is None else F.when(guard, spans).otherwise(F.array().cast(f"array<{_SPAN}>")))
+    return F.concat(*parts)
 
 
 def settle(spans: Column) -> Column:
@@ -91,7 +105,10 @@ def settle(spans: Column) -> Column:
 def leaks(text: Column, patterns: tuple[Pattern, ...] = PATTERNS) -> Column:
     """Sorted names of what still matches in a redacted text."""
     hits = [F.when(F.size(pattern_spans(text, p)) > 0 if p.check else text.rlike(p.regex), F.lit(p.name)) for p in patterns if p.leak]
-    return F.array_sort(F.array_compact(F.array(*hits, F.when(text.rlike(LONG_DIGITS), F.lit("long_digit_run")))))
+    found = F.array_sort(F.array_compact(F.array(*hits, F.when(text.rlike(LONG_DIGITS), F.lit("long_digit_run")))))
+    if any(p.leak and _needs(p) not in ("@", r"\d") for p in patterns):
+        return found
+    return F.when(text.rlike(r"[\d@]"), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def substitute(text: Column, spans: Column) -> Column:
@@ -101,12 +118,13 @@ def substitute(text: Column, spans: Column) -> Column:
     return F.concat(body["out"], F.substring(text, body["at"] + 1, F.length(text)))
 
 
-def redact_turns(turns: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
+def redact_turns(turns: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, engines_ready: bool = True) -> DataFrame:
     """turns (record, turn, text) with redacted text, spans (of the original), status, residual.
 
     Tokens are [LABEL_n]: per record and label numbered by first use, turns in order and within a text from right to left;
     one surface (without case and outer space) keeps its token. A text in which something still matches is DIRTY and
-    blanked. Null texts are CLEAN and stay null.
+    blanked. Without engines_ready, where a detector that a run asks for is missing, every clean text is UNVERIFIED and blanked as well.
+    Null texts are CLEAN and stay null.
     """
     d = turns.select("record", "turn", "text").withColumn("spans", F.coalesce(settle(detect(F.col("text"), patterns)), F.array().cast(f"array<{_SPAN}>")))
     one = (d.select("record", "turn", "text", F.inline("spans"))
@@ -118,8 +136,8 @@ def redact_turns(turns: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) ->
               .groupBy("record", "turn").agg(F.array_sort(F.collect_list("x")).alias("tokens")))
     out = d.drop("spans").join(tokens, ["record", "turn"], "left").withColumn("spans", F.coalesce("tokens", F.array().cast("array<struct<s:int,e:int,score:double,entity:string,pattern:string,token:string>>"))).drop("tokens")
     out = out.withColumn("redacted", substitute(F.col("text"), F.col("spans"))).withColumn("residual", F.coalesce(leaks(F.col("redacted"), patterns), F.array().cast("array<string>")))
-    clean = F.size("residual") == 0
-    return out.select("record", "turn", F.when(clean, F.col("redacted")).when(F.col("text").isNotNull(), "").alias("text"), "spans", F.when(clean, "CLEAN").otherwise("DIRTY").alias("status"), "residual")
+    clean, ready = F.size("residual") == 0, F.lit(engines_ready) | F.col("text").isNull()
+    return out.select("record", "turn", F.when(ready & clean, F.col("redacted")).when(F.col("text").isNotNull(), "").alias("text"), "spans", F.when(~clean, "DIRTY").when(ready, "CLEAN").otherwise("UNVERIFIED").alias("status"), "residual")
 
 
 def record_verdicts(redacted: DataFrame) -> DataFrame:
