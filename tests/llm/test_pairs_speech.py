@@ -28,15 +28,23 @@ def test_continued_counts_equal_brute_force(spark):
 
     random.seed(4)
     lines = ["".join(random.choice("ab ") for _ in range(random.randint(1, 14))) for _ in range(200)]
-    inv = spark.createDataFrame([(x, lines.count(x), 0) for x in set(lines)], "line string, n long, n_ended long")
+    inv = spark.createDataFrame([(x, lines.count(x), 0, 2 * lines.count(x)) for x in set(lines)], "line string, n long, n_complete long, copies long")
     asked = {x[: random.randint(1, len(x))] for x in lines}
-    got = {r["line"]: (r["ends"], r["goes_on"]) for r in pairs._continued(spark.createDataFrame([(x,) for x in asked], "last string"), inv).collect()}
+    got = {r["line"]: (r["ends"], r["goes_on"]) for r in pairs._continued(spark, spark.createDataFrame([(x,) for x in asked], "line string"), inv).collect()}
     assert got == {q: (lines.count(q), sum(x.startswith(q) and x != q for x in lines)) for q in asked}
 
 
 def test_empty_table_and_peaks(spark):
     assert found(spark, []) == {}
-    assert pairs.length_peaks({**{n: 10 for n in range(100, 200)}, 150: 90}) == [150]
+    rows = [("x", n, 1000 * n + k) for n in range(100, 200) for k in range(90 if n == 150 else 10)] + [("x", 6000, k) for k in range(80)] + [("x", 170, 170_000)] * 500
+    peaks = pairs._peaks(spark.createDataFrame(rows, "last string, length int, text long")).collect()
+    assert sorted(r["length"] for r in peaks) == [150, 6000]  # copies make no peak, long limits are seen
+
+
+def test_copies_of_a_cut_response_are_cut_all_the_same(spark):
+    ask, full = "where is my parcel", "I have looked into it and the parcel is on its way to you with the second carrier"
+    rows = [(i, ask, f"{full}, number {i}.", None, None, None) for i in range(3)] + [(100 + i, ask, "I have looked into it and the parcel is on its w", None, None, None) for i in range(40)]
+    assert found(spark, rows) == {100 + i: "truncated" for i in range(40)}
 
 
 def roles(transcript=None, items=None):

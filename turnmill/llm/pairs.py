@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ..tables import written
 
-#: A length is a peak if it comes this many times as often as the ten lengths around it do in the middle, and as all lengths do on average.
-PEAK = 3.0
+#: A length is a peak if it comes this many times as often as the ten lengths around it do in the middle and as all lengths do on
+#: average, beyond SIGMAS deviations of that number.
+PEAK, SIGMAS = 3.0, 5.0
 #: A line that stands complete in more than this share of its responses was not cut.
 COMPLETE = 0.2
 
@@ -199,63 +200,66 @@ def _judged(pairs: DataFrame) -> DataFrame:
 
 
 def _inventory(judged: DataFrame) -> DataFrame:
-    """line, n, n_complete: the masked sentences and last lines of all different responses that answer, and in how many of them."""
-    once = judged.where(F.col("lines").isNotNull()).groupBy("text").agg(F.any_value(F.arrays_zip("lines", "complete")).alias("x"))
-    return (once.select(F.inline("x")).groupBy(F.col("lines").alias("line"))
-            .agg(F.count("*").alias("n"), F.count_if("complete").alias("n_complete")))
+    """line, n, n_complete, copies: the masked sentences and last lines of all different responses that answer, in how many of them, and in how many rows."""
+    once = judged.where(F.col("lines").isNotNull()).groupBy("text").agg(F.any_value(F.arrays_zip("lines", "complete")).alias("x"), F.count("*").alias("copies"))
+    return (once.select("copies", F.inline("x")).groupBy(F.col("lines").alias("line"))
+            .agg(F.count("*").alias("n"), F.count_if("complete").alias("n_complete"), F.sum("copies").alias("copies")))
 
 
 _END = "\U0010ffff"
 
 
 def _continued(spark: SparkSession, asked: DataFrame, inventory: DataFrame) -> DataFrame:
-    """line, ends, complete, goes_on: in how many responses each line ends a sentence, and in how many it is the beginning of a longer one.
+    """line, ends, complete, goes_on, ends_rows, goes_on_rows: in how many responses each line ends a sentence, in how many it is the
+    beginning of a longer one, and both in rows.
 
     All lines lie sorted over ranges of the text; a line's longer neighbours stand between it and the last text that could begin
-    like it, so two running sums at these places count them. A task streams its range; one sum per range goes to the driver.
+    like it, so two running sums at these places count them. A task streams its range; one pair of sums per range goes to the driver.
     """
-    marks = inventory.select(F.col("line").alias("at"), F.lit(0).alias("kind"), "n", F.col("n_complete").alias("c")).unionByName(
+    none = F.lit(0).cast("long")
+    marks = inventory.select(F.col("line").alias("at"), F.lit(0).alias("kind"), "n", F.col("n_complete").alias("c"), "copies").unionByName(
         asked.select(F.explode(F.array(F.struct(F.col("line").alias("at"), F.lit(1).alias("kind")), F.struct(F.concat("line", F.lit(_END)).alias("at"), F.lit(2).alias("kind")))).alias("x"))
-        .select("x.at", "x.kind", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c")))
+        .select("x.at", "x.kind", none.alias("n"), none.alias("c"), none.alias("copies")))
+    cols = ["part", "line", "ends", "complete", "ends_rows", "passed", "passed_rows"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, line, ends, complete, part = 0, None, 0, 0, 0
+        total = rows = part = 0
+        here: tuple = (None, 0, 0, 0)
         for b in batches:
             out = []
-            for at, kind, n, c, part in zip(b["at"].tolist(), b["kind"].tolist(), b["n"].tolist(), b["c"].tolist(), b["part"].tolist()):
-                total += n
+            for at, kind, n, c, m, part in zip(*(b[x].tolist() for x in ("at", "kind", "n", "c", "copies", "part"))):
+                total, rows = total + n, rows + m
                 if kind == 0:
-                    line, ends, complete = at, n, c
+                    here = (at, n, c, m)
                 elif kind == 1:
-                    out.append((part, at, ends if line == at else 0, complete if line == at else 0, -total))
+                    out.append((part, at, *(here[1:] if here[0] == at else (0, 0, 0)), -total, -rows))
                 else:
-                    out.append((part, at[:-1], 0, 0, total))
-            yield pd.DataFrame(out, columns=["part", "line", "ends", "complete", "passed"])
-        yield pd.DataFrame([(part, None, 0, 0, total)], columns=["part", "line", "ends", "complete", "passed"])
+                    out.append((part, at[:-1], 0, 0, 0, total, rows))
+            yield pd.DataFrame(out, columns=cols)
+        yield pd.DataFrame([(part, None, 0, 0, 0, total, rows)], columns=cols)
 
     ranged = marks.repartitionByRange("at", "kind").sortWithinPartitions("at", "kind").withColumn("part", F.spark_partition_id())
-    passed = written(spark, ranged.mapInPandas(run, "part int, line string, ends long, complete long, passed long"), "neighbours")
-    sums = sorted((r["part"], r["passed"]) for r in passed.where(F.col("line").isNull()).groupBy("part").agg(F.sum("passed").alias("passed")).collect())
-    before, so_far = {}, 0
-    for part, n in sums:
-        before[part] = so_far
-        so_far += n
-    offset = F.get(F.lit([before.get(k, 0) for k in range(max(before, default=0) + 1)]), F.col("part"))
-    return (passed.where(F.col("line").isNotNull()).withColumn("offset", offset)
-            .groupBy("line").agg(F.sum("ends").alias("ends"), F.sum("complete").alias("complete"), F.sum("passed").alias("passed"),
-                                 F.max("offset").alias("hi"), F.min("offset").alias("lo"))
-            .select("line", "ends", "complete", (F.col("passed") + F.col("hi") - F.col("lo")).alias("goes_on")))
+    passed = written(spark, ranged.mapInPandas(run, "part int, line string, ends long, complete long, ends_rows long, passed long, passed_rows long"), "neighbours")
+    sums = {r["part"]: (r["n"], r["rows"]) for r in passed.where(F.col("line").isNull()).groupBy("part").agg(F.sum("passed").alias("n"), F.sum("passed_rows").alias("rows")).collect()}
+    before, so_far = [], (0, 0)
+    for part in range(max(sums, default=0) + 1):
+        before.append(so_far)
+        so_far = tuple(x + y for x, y in zip(so_far, sums.get(part, (0, 0))))
+    gap = lambda k: F.max(F.get(F.lit([x[k] for x in before]), F.col("part"))) - F.min(F.get(F.lit([x[k] for x in before]), F.col("part")))
+    return (passed.where(F.col("line").isNotNull()).groupBy("line")
+            .agg(*[F.sum(c).alias(c) for c in ("ends", "complete", "ends_rows")], (F.sum("passed") + gap(0)).alias("goes_on"), (F.sum("passed_rows") + gap(1)).alias("goes_on_rows")))
 
 
 def _peaks(judged: DataFrame) -> DataFrame:
-    """length of each peak among the responses that may be cut, of all lengths there are."""
-    n = judged.where(F.col("last").isNotNull()).groupBy("length").agg(F.count("*").alias("n"))
+    """length of each peak among the different responses that may be cut, of all lengths there are."""
+    n = judged.where(F.col("last").isNotNull()).select("length", "text").distinct().groupBy("length").agg(F.count("*").alias("n"))
     mean = n.agg(F.avg("n").alias("mean"))
     near = (n.select(F.explode(F.sequence(F.col("length") - 5, F.col("length") + 5)).alias("at"), F.col("length").alias("from"), "n").groupBy("at")
             .agg(F.max(F.when(F.col("at") == F.col("from"), F.col("n"))).alias("own"), F.sort_array(F.collect_list(F.when(F.col("at") != F.col("from"), F.col("n"))), asc=False).alias("around")))
     # of ten numbers, zeros for lengths that do not come, the fifth and sixth are in the middle
     middle = (F.coalesce(F.get("around", F.lit(4)), F.lit(0)) + F.coalesce(F.get("around", F.lit(5)), F.lit(0))) / 2
-    return near.crossJoin(F.broadcast(mean)).where((F.col("own") > PEAK * middle) & (F.col("own") > PEAK * F.col("mean"))).select(F.col("at").alias("length"), F.lit(True).alias("limit"))
+    usual = PEAK * F.greatest(middle, F.col("mean"), F.lit(1.0))
+    return near.crossJoin(F.broadcast(mean)).where(F.col("own") > usual + SIGMAS * F.sqrt(usual)).select(F.col("at").alias("length"), F.lit(True).alias("limit"))
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     wrong_language; a row has one at most, the first in this order.
 
     Rows without row_id and with a blank instruction are never reported; a null response is empty. Rows delivered again
-    are judged each by itself, but copies of a response count once among the neighbours. An empty table gives no row.
+    are judged each by itself, but copies of a response count once among the neighbours; rows decide where responses are as many. An empty table gives no row.
     """
     spark = pairs.sparkSession
     judged = written(spark, _judged(pairs), "judged")
@@ -271,7 +275,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     rows = judged.select("row_id", "defect", "last", "dangling", "open", "length")
     rows = rows.join(_continued(spark, asked, _inventory(judged)).withColumnRenamed("line", "last"), "last", "left").join(_peaks(judged), "length", "left")
     alone = (F.col("complete") <= COMPLETE * F.col("ends")) & (F.col("open") | F.coalesce("limit", F.lit(False)))
-    cut = F.col("dangling") | F.coalesce((F.col("goes_on") > F.col("ends")) | alone, F.lit(False))
+    cut = F.col("dangling") | F.coalesce(F.struct("goes_on", "goes_on_rows") > F.struct(F.col("ends").alias("goes_on"), F.col("ends_rows").alias("goes_on_rows")), F.lit(False)) | F.coalesce(alone, F.lit(False))
     defect = (F.when(F.col("defect").isin("empty", "copied", "refusal"), F.col("defect")).when(cut, "truncated").otherwise(F.col("defect")))
     return rows.select("row_id", defect.alias("defect")).where(F.col("defect").isNotNull())
 
