@@ -181,3 +181,44 @@ def test_dominance():
     count = np.bincount([6, 5, 3, 3], minlength=11)
     assert containers.dominated((5,), count, 6) and containers.dominated((3, 3), count, 6) and not containers.dominated((6,), count, 6)
     assert containers.all_fillings(count, 6, 3, 10) == [(6,)]
+
+
+def test_no_cap_on_the_search():
+    import random
+
+    from turnmill.llm import containers
+
+    # a search of four steps a bin and three fillings a document found one more, or could not tell
+    for n, mean, capacity, seed, want in ((300, 4.2, 200, 4, 130), (400, 4.2, 150, 2, 207), (400, 4.2, 150, 10, 213), (300, 5.9, 513, 7, 199)):
+        r = random.Random(seed)
+        w = [min(capacity, max(1, round(r.lognormvariate(mean, 0.8)))) for _ in range(n)]
+        bins, least = containers.searched(w, capacity)[:2]
+        assert sorted(i for b in bins for i in b) == list(range(len(w))) and all(sum(w[i] for i in b) <= capacity for b in bins)
+        assert len(bins) == least == want
+
+
+def test_bound_of_patterns_and_enumeration_by_prices():
+    import random
+
+    from turnmill.llm import column_prices, containers
+
+    w = [4] * 7 + [7] * 4 + [5] * 3
+    r = random.Random(3)
+    for w, capacity in [(w, 11)] + [([r.randint(3, 24) for _ in range(10)], 30) for _ in range(20)]:
+        start = [[w[i] for i in b] for b in containers.best_fit(w, capacity)]
+        prices, whole = column_prices.priced(w, capacity, [start])
+        price, best = prices.tolist(), len(start) + 1
+        for found in containers.enumerated(w, capacity, best, lambda count, room, need: containers.priced_fillings(count, room, price, need), price, whole):
+            if found:
+                assert sorted(x for b in found for x in b) == sorted(w) and all(sum(b) <= capacity for b in found) and len(found) < best
+                best = len(found)
+        assert -(-sum(price[x] for x in w) // whole) <= best == len(containers.complete(w, capacity, exact=True)) == len(containers.complete(w, capacity))
+
+
+def test_report_meets_the_bound(spark):
+    import random
+
+    r = random.Random(10)
+    texts = ["word " * (min(150, max(1, round(r.lognormvariate(4.2, 0.8)))) - 1) for _ in range(400)]
+    for row in containers.fill_report(docs(spark, texts), spark.createDataFrame([("m", 150, 0)], S)).collect():
+        assert row["at_bound"] == row["blocks"] == 1 and row["containers"] == row["lower_bound"]
