@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from turnmill.llm import containers, mixing, shared_spans
-from turnmill.llm.fm_index import FMIndex, suffix_array
+from turnmill.llm.fm_index import FMIndex, WaveletTree, suffix_array
 
 D = "doc_id long, text string, lang string, source string, domain_hint string, r long, hash long, tokens long"
 S = "container_kind string, capacity_tokens long, separator_tokens long"
@@ -31,6 +31,53 @@ def test_suffix_array_and_index():
         assert got == want
 
 
+def test_index_over_many_symbols():
+    r = random.Random(3)
+    for symbols in (1, 2, 16, 17, 200, 70_000):
+        s = np.array([r.randrange(symbols) for _ in range(500)])
+        tree = WaveletTree(s, symbols)
+        assert len(tree.levels) == max(1, -(-int(symbols - 1).bit_length() // 4))  # one for four bits
+        for c in {0, symbols - 1, *s[:20].tolist()}:
+            at = np.arange(len(s) + 1)
+            got = tree.rank(np.full(len(at), c), at)
+            assert (got - got[0]).tolist() == [0, *np.cumsum(s == c).tolist()]
+
+
+def test_shared_texts_take_few_backward_steps(monkeypatch):
+    r = random.Random(4)
+    text = lambda n: np.array([r.randint(97, 122) for _ in range(n)], np.uint32)
+    steps, one = [0], FMIndex.step
+    monkeypatch.setattr(FMIndex, "step", lambda self, symbol, lo, hi: (steps.__setitem__(0, steps[0] + len(symbol)), one(self, symbol, lo, hi))[1])
+    for n, most in ((299, 2 * 200), (200, 200), (199, 0)):  # the passages at the begin and at the end
+        steps[0], a = 0, text(n)
+        got = FMIndex([a, np.append(text(1), a)[1:]], np.array([1, 2]), np.array([False, False])).shared_passages(200)
+        assert [x.tolist() for x in got] == ([[0, 1], [0, 0], [n, n]] if n >= 200 else [[], [], []])
+        assert steps[0] <= 2 * most
+    # shared parts of any lengths with unlike texts between: in fewer steps than halving takes (about 25,000)
+    steps[0] = 0
+    for k in range(200, 290, 9):
+        a = text(k)
+        x, y = np.concatenate([a, text(299 - k)]), np.concatenate([text(299 - k), a])
+        assert [z.tolist() for z in FMIndex([x, y], np.array([1, 2]), np.array([False, False])).shared_passages(200)] == [[0, 1], [0, 299 - k], [k, 299]]
+    assert steps[0] < 16_000
+
+
+def test_anchors_of_joined_texts_are_those_of_each():
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab é😀") for _ in range(r.choice([200, 201, 350, 900]))) for _ in range(30)] + ["x" * 5000]
+    points = [shared_spans._points(t) for t in texts]
+    powers = shared_spans._powers(1 << 15)
+    t, p, h = shared_spans.anchors(np.concatenate(points), np.array([len(x) for x in points]), powers)
+    want = [(k, *x) for k, a in enumerate(points) for x in zip(*(y.tolist() for y in shared_spans.anchors(a, np.array([len(a)]), powers)[1:]))]
+    assert list(zip(t.tolist(), p.tolist(), h.tolist())) == want
+    grams = {}
+    for k, q, x in want:  # one hash is one gram, and each window holds an anchor
+        assert grams.setdefault(x, texts[k][q : q + 100]) == texts[k][q : q + 100]
+    for k, x in enumerate(texts):
+        at = sorted(q for i, q, _ in want if i == k)
+        assert at[0] <= 100 and at[-1] >= len(x) - 200 and all(b - a <= 101 for a, b in zip(at, at[1:]))
+
+
 def brute(texts, n=200):
     seen, out = {}, {}
     for i, t in enumerate(texts):

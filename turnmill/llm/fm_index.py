@@ -5,59 +5,48 @@ from __future__ import annotations
 
 import numpy as np
 
-_WORD = 64
-
-
-class BitVector:
-    """Bits with rank in constant time: packed words and counts before each word."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        n = len(bits)
-        words = -(-n // _WORD) + 1
-        padded = np.zeros(words * _WORD, np.uint8)
-        padded[:n] = bits
-        self.words = np.packbits(padded, bitorder="little").view("<u8")
-        counts = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.zeros(words, np.int64)
-        np.cumsum(counts[:-1], out=self.before[1:])
-
-    def rank(self, i: np.ndarray) -> np.ndarray:
-        """Ones before position i."""
-        w = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+#: Bits of a symbol in one level of the tree.
+_DIGIT = 4
+#: Bits below each place of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletTree:
-    """A sequence of small numbers as levels of bits, highest first, each level sorted stably by the bits above."""
+    """A sequence of small numbers as levels of digits, highest first, each level sorted stably by the digits above.
+
+    A level has a vector of bits for each digit, in packed words, and the place in the next level of the digit's first
+    occurrence from each word on; so a rank takes constant time a level.
+    """
 
     def __init__(self, seq: np.ndarray, symbols: int) -> None:
-        self.height = max(1, int(symbols - 1).bit_length())
-        self.levels: list[BitVector] = []
-        self.zeros: list[int] = []
-        cur = seq
-        for h in range(self.height - 1, -1, -1):
-            bits = ((cur >> h) & 1).astype(np.uint8)
-            self.levels.append(BitVector(bits))
-            self.zeros.append(int(len(bits) - bits.sum(dtype=np.int64)))
-            one = bits.astype(bool)
-            cur = np.concatenate([cur[~one], cur[one]])
+        n = len(seq)
+        self.words = n // 64 + 1
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        every = np.arange(symbols)
+        for h in range(_DIGIT * ((max(1, int(symbols - 1).bit_length()) - 1) // _DIGIT), -1, -_DIGIT):
+            digit = ((seq >> h) & ((1 << _DIGIT) - 1)).astype(np.uint8)
+            bits = np.zeros((1 << _DIGIT, self.words * 64), bool)
+            for d in range(1 << _DIGIT):
+                np.equal(digit, d, out=bits[d, :n])
+            packed = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+            before = np.zeros(len(packed), np.int64)  # digits one after the other: counts run on from the smaller ones
+            np.cumsum(np.bitwise_count(packed[:-1]), out=before[1:])
+            self.levels.append((packed, before, ((every >> h) & ((1 << _DIGIT) - 1)) * self.words))
+            seq = np.concatenate([seq[b[:n]] for b in bits])
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """For each pair: how often the symbol stands before position i, plus the symbol's first place in the last level.
 
         The offset is the same for every i, so differences of two calls are counts.
         """
-        pos = i
-        for k, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
-            ones = level.rank(pos)
-            bit = (symbol >> (self.height - 1 - k)) & 1
-            pos = np.where(bit == 1, zeros + ones, pos - ones)
-        return pos
+        for packed, before, row in self.levels:
+            k = row[symbol] + (i >> 6)
+            i = before[k] + np.bitwise_count(packed[k] & _BELOW[i & 63])
+        return i
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; only groups that are still equal are sorted again."""
+    """Suffix array by prefix doubling, or tripling where three ranks fit in a number; only groups that are still equal are sorted again."""
     n = len(s)
     width = 1
     rank = s.astype(np.int64)
@@ -68,36 +57,31 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         shifted[: n - width] = rank[width:] + 1
         rank = rank * (base**width) + shifted
         width *= 2
-    sa = np.argsort(rank, kind="stable")
+    sa = np.argsort(rank)
     ordered = rank[sa]
     new = np.empty(n, bool)
     new[:1] = True
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-    heads = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[sa] = heads[np.cumsum(new) - 1]
-    while len(heads) < n:
-        # positions within groups of more than one
-        size = np.diff(np.append(heads, n))
-        many = np.repeat(size > 1, size)
-        at = np.flatnonzero(many)
+    parts = 3 if (n + 1) ** 3 < 2**63 else 2
+    rank = np.zeros(n + 1, np.int64)  # from 1 on; 0 stands behind the end
+    at = np.arange(n)
+    while True:
+        # the rank of a place is that of the first of its equals
+        rank[sa[at]] = np.maximum.accumulate(np.where(new[at], at, 0)) + 1
+        last = np.ones(n, bool)
+        last[:-1] = new[1:]
+        at = at[~(new[at] & last[at])]
         if not len(at):
-            break
+            return sa
         i = sa[at]
-        nxt = i + width
-        key = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
-        group = rank[i]
-        order = np.lexsort((key, group))
+        key = rank[i]
+        for k in range(1, parts):
+            key = key * (n + 1) + rank[np.minimum(i + k * width, n)]
+        order = np.argsort(key)
         sa[at] = i[order]
-        g, k = group[order], key[order]
-        differs = np.empty(len(at), bool)
-        differs[:1] = True
-        differs[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-        new[at] |= differs
-        heads = np.flatnonzero(new)
-        rank[sa[at]] = heads[np.searchsorted(heads, at, side="right") - 1]
-        width *= 2
-    return sa
+        key = key[order]
+        new[at[1:]] |= key[1:] != key[:-1]
+        width *= parts
 
 
 class FMIndex:
@@ -106,48 +90,46 @@ class FMIndex:
 
     def __init__(self, texts: list[np.ndarray], owner: np.ndarray, multi: np.ndarray) -> None:
         self.lengths = np.array([len(t) for t in texts], np.int64)
-        self.firsts = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-        total = int((self.lengths + 1).sum())
+        ends = np.cumsum(self.lengths + 1)
+        self.firsts = ends - self.lengths - 1
+        total = int(ends[-1]) if len(texts) else 0
+        text = np.repeat(np.arange(len(texts)), self.lengths + 1)
         raw = np.zeros(total, np.int64)  # 0 ends each text
-        doc = np.full(total, -1, np.int64)
-        shared = np.zeros(total, bool)
-        for k, t in enumerate(texts):
-            a = self.firsts[k]
-            raw[a : a + len(t)] = t.astype(np.int64) + 1
-            doc[a : a + len(t)] = owner[k]
-            shared[a : a + len(t)] = multi[k]
-        self.alphabet, s = np.unique(raw, return_inverse=True)
-        self.s = s.astype(np.int64)
+        inside = np.ones(total, bool)
+        inside[ends - 1] = False
+        if len(texts):
+            raw[inside] = np.concatenate(texts)
+        raw[inside] += 1
+        used = np.zeros(int(raw.max()) + 1 if total else 1, bool)
+        used[raw] = True
+        self.alphabet = np.flatnonzero(used)
+        self.s = (np.cumsum(used) - 1)[raw]
         sa = suffix_array(self.s)
-        bwt = self.s[sa - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.s, minlength=len(self.alphabet)))[:-1]])
-        self.tree = WaveletTree(bwt, len(self.alphabet))
-        self.zero = self.tree.rank(np.arange(len(self.alphabet)), np.zeros(len(self.alphabet), np.int64))
+        self.tree = WaveletTree(self.s[sa - 1], len(self.alphabet))
+        every = np.arange(len(self.alphabet))
+        self.shift = self.first - self.tree.rank(every, np.zeros_like(every))
         # the end of the run of one document from each place of the suffix array; a shared text ends its run at once
-        d = doc[sa]
+        d = np.where(inside, owner[text], -1)[sa] if total else raw
         change = np.flatnonzero(d[1:] != d[:-1]) + 1
-        ends = np.append(change, total)
-        run_end = ends[np.searchsorted(ends, np.arange(total), side="right")]
-        places = np.flatnonzero(shared[sa])
+        bounds = np.concatenate([[0], change, [total]])
+        run_end = np.repeat(bounds[1:], np.diff(bounds))
+        places = np.flatnonzero((inside & multi[text])[sa]) if total else change
         if len(places):
-            at = np.searchsorted(places, np.arange(total), side="left")
-            nearest = np.where(at < len(places), places[np.minimum(at, len(places) - 1)], total)
-            run_end = np.minimum(run_end, np.where(nearest < total, nearest, total))
-            run_end = np.maximum(run_end, 0)
-        self.run_end = run_end
+            nearest = np.repeat(np.append(places, total), np.diff(np.concatenate([[-1], places, [total - 1]])))
+            run_end = np.minimum(run_end, nearest)
+        self.run_end = np.append(run_end, total)
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the interval of each pattern with one more symbol in front."""
-        both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         k = len(symbol)
-        base = self.first[symbol] - self.zero[symbol]
+        both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        base = self.shift[symbol]
         return base + both[:k], base + both[k:]
 
     def elsewhere(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Whether the interval holds places of more than one document."""
-        ok = lo < hi
-        at = np.minimum(lo, len(self.run_end) - 1)
-        return ok & (self.run_end[at] < hi)
+        return (lo < hi) & (self.run_end[lo] < hi)
 
     def shared_passages(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, end) of the stretches of each text covered by passages of `least` symbols that also stand in
@@ -155,59 +137,57 @@ class FMIndex:
 
         Every text is one stream; all streams take one backward step at a time. A stream tests the passage that ends
         at x. If it fails after l symbols, no passage that contains those l + 1 can match, so x moves by least - l.
-        If it matches, x moves in doubling steps of at most `least` (the covered stretch stays whole), which are halved
-        when a test fails; only the failure of a step of one moves x on.
+        If it matches, x moves on by `least` (the covered stretch stays whole) or to the end of the text. If that fails,
+        the places between the last match and the first failure are searched, a quarter of them from the failure on, as
+        failures mostly take few steps; only a failure right behind a match moves x on.
         """
         m = len(self.lengths)
+        n = self.lengths
         x = np.full(m, least, np.int64)  # end of the passage under test, within the text
         kept = np.full(m, -1, np.int64)  # end of the last passage that matched and is the base of the next step
-        step = np.ones(m, np.int64)
-        grow = np.ones(m, bool)
-        n = self.lengths
-        alive = np.flatnonzero(n >= least)
+        bad = np.zeros(m, np.int64)  # end of the first passage behind it that failed, 0 if none did
+        on = np.zeros(m, np.int64)  # no passage that ends from there on, but before this place, matches
         out_t: list[np.ndarray] = []
         out_e: list[np.ndarray] = []
-        full = len(self.run_end)
-        depth = np.zeros(m, np.int64)
-        lo = np.zeros(m, np.int64)
-        hi = np.full(m, full, np.int64)
-        while len(alive):
-            a = alive
-            sym = self.s[self.firsts[a] + x[a] - 1 - depth[a]]
-            l2, h2 = self.step(sym, lo[a], hi[a])
-            good = self.elsewhere(l2, h2)
-            lo[a], hi[a] = l2, h2
-            depth[a] += good
-            hit = good & (depth[a] >= least)
-            miss = ~good
-            done = hit | miss
-            if not done.any():
+        full = len(self.s)
+        a = np.flatnonzero(n >= least)
+        at = self.firsts[a] + (least - 1)
+        depth = np.zeros(len(a), np.int64)
+        lo = np.zeros(len(a), np.int64)
+        hi = np.full(len(a), full, np.int64)
+        while len(a):
+            lo, hi = self.step(self.s[at], lo, hi)
+            good = self.elsewhere(lo, hi)
+            at -= 1
+            depth += good
+            done = np.flatnonzero(~good | (depth == least))
+            if not len(done):
                 continue
-            ih, im = a[hit], a[miss]
-            if len(ih):
-                out_t.append(ih)
-                out_e.append(x[ih].copy())
-                kept[ih] = x[ih]
-                # longer steps until one fails, then half the way to where it failed, from one on again
-                grow[ih] |= step[ih] == 1
-                more = np.where(grow[ih], np.minimum(step[ih] * 2, least), step[ih] // 2)
-                step[ih] = np.maximum(np.minimum(more, n[ih] - x[ih]), 1)
-                x[ih] = x[ih] + step[ih]
-            if len(im):
-                big = (step[im] > 1) & (kept[im] >= 0)
-                ib, il = im[big], im[~big]
-                step[ib] = step[ib] // 2
-                grow[ib] = False
-                x[ib] = kept[ib] + step[ib]
-                x[il] = x[il] + np.maximum(least - depth[il], 1)
-                kept[il] = -1
-                step[il] = 1
-                grow[il] = True
-            d = a[done]
-            depth[d] = 0
-            lo[d] = 0
-            hi[d] = full
-            alive = alive[x[alive] <= n[alive]]
+            d, hit = a[done], good[done]
+            ih = d[hit]
+            out_t.append(ih)
+            out_e.append(x[ih])
+            kept[ih] = x[ih]
+            im = d[~hit]
+            to = x[im] + least - depth[done[~hit]]
+            # an earlier failure further on may reach further
+            on[im] = np.where((bad[im] > 0) & (to >= bad[im]), np.maximum(to, on[im]), to)
+            bad[im] = x[im]
+            k, b = kept[d], bad[d]
+            apart = (k < 0) | (b == k + 1)
+            x[d] = np.where(apart, on[d], np.where(b > 0, k + np.maximum((b - k) * 3 // 4, 1), np.where(k < n[d], np.minimum(k + least, n[d]), n[d] + 1)))
+            anew = d[apart]
+            kept[anew] = -1
+            bad[anew] = 0
+            at[done] = self.firsts[d] + x[d] - 1
+            depth[done] = 0
+            lo[done] = 0
+            hi[done] = full
+            over = x[d] > n[d]
+            if over.any():
+                stay = np.ones(len(a), bool)
+                stay[done[over]] = False
+                a, at, depth, lo, hi = a[stay], at[stay], depth[stay], lo[stay], hi[stay]
         if not out_t:
             e = np.zeros(0, np.int64)
             return e, e, e

@@ -27,6 +27,8 @@ HOT = 2000
 SALTS = 4
 #: Characters after which a shard's index is built.
 SHARD_CHARS = 1_000_000
+#: Characters of short texts that are hashed at once.
+TOGETHER = 1 << 15
 
 _B = 0x9E3779B97F4A7C15  # odd
 
@@ -58,8 +60,11 @@ def _gram_hashes(a: np.ndarray, powers: np.ndarray, k: int, salt: int = 0) -> np
 _POSITION = (1 << 24) - 1
 
 
-def anchors(a: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the smallest K-gram of each window of W K-grams; leftmost among equals."""
+def anchors(a: np.ndarray, lengths: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position in it, hash) of the smallest K-gram of each window of W K-grams; leftmost among equals.
+
+    a holds texts of LEAST characters or more, one behind the other; no window reaches into the next text.
+    """
     h = _gram_hashes(a, powers, K)
     m = len(h)
     v = (h & np.uint64(~_POSITION & 0xFFFFFFFFFFFFFFFF)) | (np.arange(m, dtype=np.uint64) & np.uint64(_POSITION))
@@ -69,29 +74,40 @@ def anchors(a: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size *= 2
     if W > size:
         v = np.minimum(v[: len(v) - (W - size)], v[W - size :])
+    ends = np.cumsum(lengths)
     keep = np.ones(len(v), bool)
     keep[1:] = v[1:] != v[:-1]
-    v = v[keep]
+    keep[ends[:-1]] = True
+    beyond = np.zeros(len(a) + 1, np.int8)
+    beyond[ends - (LEAST - 1)] = 1
+    beyond[ends] = -1
+    keep &= np.cumsum(beyond, dtype=np.int8)[: len(v)] == 0
     # the position's upper part is that of the window
     at = np.flatnonzero(keep)
-    low = (v & np.uint64(_POSITION)).astype(np.int64)
+    low = (v[at] & np.uint64(_POSITION)).astype(np.int64)
     pos = at + ((low - at) & _POSITION)
-    return pos, h[pos].view(np.int64)
+    text = np.searchsorted(ends, at, side="right")
+    return text, pos - (ends - lengths)[text], h[pos].view(np.int64)
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = _powers(1 << 14)
+        powers = _powers(2 * TOGETHER)
         for b in batches:
+            docs, texts = b["doc_id"].to_numpy(), b["text"].tolist()
+            lengths = np.array([len(t) for t in texts], np.int64)
+            many = np.flatnonzero(lengths >= LEAST)
+            # texts of about TOGETHER characters at a time
+            part = np.cumsum(lengths[many]) // TOGETHER
             ids, ps, hs = [], [], []
-            for doc, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
-                a = _points(text)
-                if len(a) < LEAST:
+            for i in np.split(many, np.flatnonzero(np.diff(part)) + 1):
+                if not len(i):
                     continue
+                a = _points("".join([texts[k] for k in i]))
                 if len(a) + 1 > powers.shape[1]:
                     powers = _powers(2 * len(a))
-                p, h = anchors(a, powers)
-                ids.append(np.full(len(p), doc))
+                t, p, h = anchors(a, lengths[i], powers)
+                ids.append(docs[i[t]])
                 ps.append(p)
                 hs.append(h)
             if ids:
