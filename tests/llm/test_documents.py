@@ -115,6 +115,11 @@ def test_hot_anchors_give_the_same(spark, monkeypatch):
     assert spans(docs(spark, texts)) == brute(texts)
 
 
+def test_stretches_are_cut_once_for_the_search_and_once_for_the_spans(spark):
+    plan = shared_spans.shared_passages(docs(spark, ["a" * 300]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") <= 7  # each cut has two passes for the anchors, then one search
+
+
 def test_report_and_empty(spark):
     df = docs(spark, ["p" + "ab" * 120, "q" + "ab" * 120, None])
     got = {r["doc_id"]: (r["n_chars"], r["shared_chars"]) for r in shared_spans.shared_report(df).collect()}

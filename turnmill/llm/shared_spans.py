@@ -159,7 +159,8 @@ def _cut(docs: DataFrame, meetings: DataFrame) -> DataFrame:
 
 
 def _search(stretches: DataFrame) -> DataFrame:
-    """r, k1, k2, a, e: covered parts of each different stretch, found by backward search in its shard."""
+    """r, k1, k2, a, e: covered parts of each different stretch, found by backward search in its shard; a window without
+    text is covered whole where it stands in several documents."""
     schema = "r long, k1 long, k2 long, a int, e int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,6 +176,9 @@ def _search(stretches: DataFrame) -> DataFrame:
         for b in batches:
             alone: list[tuple] = []
             for row in [*zip(b["r"].tolist(), zip(b["k1"].tolist(), b["k2"].tolist()), b["text"].tolist(), b["owner"].tolist(), b["multi"].tolist())]:
+                if row[2] is None:
+                    alone.append(row)
+                    continue
                 if group and row[0] != group[0][0]:
                     if len(group) == 1:
                         alone += group
@@ -194,8 +198,9 @@ def _search(stretches: DataFrame) -> DataFrame:
             yield found(held + group)
 
     def whole(rows: list[tuple]) -> pd.DataFrame:
-        rows = [x for x in rows if x[4] and len(x[2]) >= LEAST]
-        return pd.DataFrame({"r": np.array([x[0] for x in rows], np.int64), "k1": np.array([x[1][0] for x in rows], np.int64), "k2": np.array([x[1][1] for x in rows], np.int64), "a": np.zeros(len(rows), np.int32), "e": np.array([len(x[2]) for x in rows], np.int32)})
+        rows = [(r, *k, LEAST if text is None else len(text)) for r, k, text, _, multi in rows if multi]
+        r, k1, k2, e = np.array([x for x in rows if x[3] >= LEAST], np.int64).reshape(-1, 4).T
+        return pd.DataFrame({"r": r, "k1": k1, "k2": k2, "a": np.zeros(len(r), np.int32), "e": e.astype(np.int32)})
 
     # few bytes for much work: the number of tasks is given, so that adaptive execution doesn't join them by bytes
     tasks = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -218,8 +223,7 @@ def shared_passages(documents: DataFrame) -> DataFrame:
     named = cut.withColumns({"k1": F.when(F.col("text").isNull(), F.col("check")).otherwise(F.xxhash64("text")), "k2": F.coalesce(F.shiftleft(F.hash("text").cast("long"), 32) + F.crc32(F.encode("text", "UTF-8")), F.lit(0))})
     stretches = (named.groupBy("r", "k1", "k2").agg(F.first("text").alias("text"), F.min("doc_id").alias("owner"), (F.min("doc_id") < F.max("doc_id")).alias("multi"))
                  .where(F.col("text").isNotNull() | F.col("multi")))
-    exact = stretches.where(F.col("text").isNull()).select("r", "k1", "k2", F.lit(0).alias("a"), F.lit(LEAST).alias("e"))
-    hits = _search(stretches.where(F.col("text").isNotNull())).unionByName(exact)
+    hits = _search(stretches)  # windows of hot anchors go through, so that the stretches are cut and shuffled once
     spans = named.select("r", "k1", "k2", "doc_id", "start").join(hits, ["r", "k1", "k2"]).select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("e")).alias("e"))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("a", "e"))),
