@@ -62,6 +62,13 @@ def test_shared_texts_take_few_backward_steps(monkeypatch):
     assert steps[0] < 16_000
 
 
+def test_index_without_a_shared_passage():
+    r = random.Random(5)
+    for texts in ([], [[]], [[], []], [[r.randint(97, 122) for _ in range(n)] for n in (250, 199, 300)], [[97] * 250]):
+        index = FMIndex([np.array(x, np.uint32) for x in texts], np.arange(len(texts)), np.zeros(len(texts), bool))
+        assert [x.tolist() for x in index.shared_passages(200)] == [[], [], []]
+
+
 def test_anchors_of_joined_texts_are_those_of_each():
     r = random.Random(9)
     texts = ["".join(r.choice("ab é😀") for _ in range(r.choice([200, 201, 350, 900]))) for _ in range(30)] + ["x" * 5000]

@@ -165,9 +165,10 @@ class FMIndex:
                 continue
             d, hit = a[done], good[done]
             ih = d[hit]
-            out_t.append(ih)
-            out_e.append(x[ih])
-            kept[ih] = x[ih]
+            if len(ih):
+                out_t.append(ih)
+                out_e.append(x[ih])
+                kept[ih] = x[ih]
             im = d[~hit]
             to = x[im] + least - depth[done[~hit]]
             # an earlier failure further on may reach further
