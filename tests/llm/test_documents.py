@@ -74,14 +74,17 @@ def test_anchors_of_joined_texts_are_those_of_each():
     texts = ["".join(r.choice("ab é😀") for _ in range(r.choice([200, 201, 350, 900]))) for _ in range(30)] + ["x" * 5000]
     points = [shared_spans._points(t) for t in texts]
     powers = shared_spans._powers(1 << 15)
-    t, p, h = shared_spans.anchors(np.concatenate(points), np.array([len(x) for x in points]), powers)
+    t, p, h, first, last = shared_spans.anchors(np.concatenate(points), np.array([len(x) for x in points]), powers)
     want = [(k, *x) for k, a in enumerate(points) for x in zip(*(y.tolist() for y in shared_spans.anchors(a, np.array([len(a)]), powers)[1:]))]
-    assert list(zip(t.tolist(), p.tolist(), h.tolist())) == want
+    assert list(zip(*(x.tolist() for x in (t, p, h, first, last)))) == want
+    for k, x in enumerate(texts):  # each window has one anchor, which stands in it
+        assert [w for i, _, _, b, c in want if i == k for w in range(b, c + 1)] == list(range(len(x) - 199))
+    assert all(b <= c <= q <= b + 100 for _, q, _, b, c in want)
     grams = {}
-    for k, q, x in want:  # one hash is one gram, and each window holds an anchor
+    for k, q, x, _, _ in want:  # one hash is one gram, and each window holds an anchor
         assert grams.setdefault(x, texts[k][q : q + 100]) == texts[k][q : q + 100]
     for k, x in enumerate(texts):
-        at = sorted(q for i, q, _ in want if i == k)
+        at = sorted(q for i, q, *_ in want if i == k)
         assert at[0] <= 100 and at[-1] >= len(x) - 200 and all(b - a <= 101 for a, b in zip(at, at[1:]))
 
 

@@ -1,8 +1,8 @@
 """Long spans that stand verbatim in more than one document.
 
 Two documents that share a passage of LEAST characters share the smallest hashed K-gram of one of its windows (K + W - 1
-= LEAST), so texts meet only where they share such an anchor. The stretches around a shared anchor, which hold every passage of
-LEAST characters with it, form a group, equal stretches once. Groups are packed into shards; each shard is a compressed FM-index (a
+= LEAST), so texts meet only where they share such an anchor. The stretches around a shared anchor, which hold the windows of
+LEAST characters whose smallest K-gram it is, form a group, equal stretches once. Groups are packed into shards; each shard is a compressed FM-index (a
 wavelet tree over the Burrows-Wheeler transform), and its stretches are streamed through backward search, which reports those
 that match another document over LEAST characters or more. A group of one stretch that many documents carry is shared as it is. Anchors
 in more than HOT documents are cut into their windows of LEAST characters and met by 128-bit hashes of these, so no group holds
@@ -60,8 +60,9 @@ def _gram_hashes(a: np.ndarray, powers: np.ndarray, k: int, salt: int = 0) -> np
 _POSITION = (1 << 24) - 1
 
 
-def anchors(a: np.ndarray, lengths: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position in it, hash) of the smallest K-gram of each window of W K-grams; leftmost among equals.
+def anchors(a: np.ndarray, lengths: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position in it, hash, first and last window with it) of the smallest K-gram of each window of W K-grams;
+    leftmost among equals.
 
     a holds texts of LEAST characters or more, one behind the other; no window reaches into the next text.
     """
@@ -75,22 +76,25 @@ def anchors(a: np.ndarray, lengths: np.ndarray, powers: np.ndarray) -> tuple[np.
     if W > size:
         v = np.minimum(v[: len(v) - (W - size)], v[W - size :])
     ends = np.cumsum(lengths)
-    keep = np.ones(len(v), bool)
-    keep[1:] = v[1:] != v[:-1]
-    keep[ends[:-1]] = True
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    new[ends[:-1]] = True
     beyond = np.zeros(len(a) + 1, np.int8)
     beyond[ends - (LEAST - 1)] = 1
     beyond[ends] = -1
-    keep &= np.cumsum(beyond, dtype=np.int8)[: len(v)] == 0
+    runs = np.flatnonzero(new)
+    keep = np.cumsum(beyond, dtype=np.int8)[runs] == 0
+    at, after = runs[keep], np.append(runs[1:], len(v))[keep]
     # the position's upper part is that of the window
-    at = np.flatnonzero(keep)
     low = (v[at] & np.uint64(_POSITION)).astype(np.int64)
     pos = at + ((low - at) & _POSITION)
     text = np.searchsorted(ends, at, side="right")
-    return text, pos - (ends - lengths)[text], h[pos].view(np.int64)
+    begin = (ends - lengths)[text]
+    return text, pos - begin, h[pos].view(np.int64), at - begin, np.minimum(after - 1, ends[text] - LEAST) - begin
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """hash, doc_id, run (the first window with the anchor and, in the lowest eight bits, the number of those behind it)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = _powers(2 * TOGETHER)
         for b in batches:
@@ -99,49 +103,47 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             many = np.flatnonzero(lengths >= LEAST)
             # texts of about TOGETHER characters at a time
             part = np.cumsum(lengths[many]) // TOGETHER
-            ids, ps, hs = [], [], []
+            ids, runs, hs = [], [], []
             for i in np.split(many, np.flatnonzero(np.diff(part)) + 1):
                 if not len(i):
                     continue
                 a = _points("".join([texts[k] for k in i]))
                 if len(a) + 1 > powers.shape[1]:
                     powers = _powers(2 * len(a))
-                t, p, h = anchors(a, lengths[i], powers)
+                t, _, h, first, last = anchors(a, lengths[i], powers)
                 ids.append(docs[i[t]])
-                ps.append(p)
+                runs.append(first << 8 | (last - first))
                 hs.append(h)
             if ids:
-                yield pd.DataFrame({"hash": np.concatenate(hs), "doc_id": np.concatenate(ids), "pos": np.concatenate(ps).astype(np.int32)})
+                yield pd.DataFrame({"hash": np.concatenate(hs), "doc_id": np.concatenate(ids), "run": np.concatenate(runs)})
 
-    return docs.mapInPandas(run, "hash long, doc_id long, pos int")
+    return docs.mapInPandas(run, "hash long, doc_id long, run long")
 
 
 def _salted(rows: DataFrame, met: DataFrame) -> DataFrame:
     """rows joined to met by hash; rows of a hot hash are spread over SALTS tasks, the other side is repeated for each."""
-    return (rows.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("byte"))
-            .join(met.withColumn("salt", F.explode(F.lit(list(range(SALTS))).cast("array<tinyint>"))), ["hash", "salt"]).drop("salt"))
+    met = met.withColumnRenamed("hash", "met").withColumn("salt", F.explode(F.lit(list(range(SALTS))).cast("array<bigint>")))
+    return rows.join(met, (F.col("hash") == F.col("met")) & (F.pmod("doc_id", F.lit(SALTS).cast("long")) == F.col("salt"))).drop("met", "salt")
 
 
 def _cut(docs: DataFrame, meetings: DataFrame) -> DataFrame:
     """r (the anchor), doc_id, start, text (null for the windows of hot anchors, whose r is their first hash), check."""
-    per_doc = meetings.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hash", "hot")).alias("at"))
+    per_doc = meetings.groupBy("doc_id").agg(F.collect_list(F.struct("run", "hash", "hot")).alias("at"))
     schema = "r long, doc_id long, start int, text string, check long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = _powers(1 << 14)
-        margin = LEAST - K
         for b in batches:
             rs, ids, starts, texts, checks = [], [], [], [], []
             for doc, text, at in zip(b["doc_id"].tolist(), b["text"].tolist(), b["at"]):
-                n = len(text)
                 windows: set[int] = set()
                 for x in at:
-                    p = x["pos"]
+                    a = x["run"] >> 8
+                    last = a + (x["run"] & 255)
                     if x["hot"]:
-                        windows.update(range(max(0, p - margin), min(p, n - LEAST) + 1))
+                        windows.update(range(a, last + 1))
                     else:
-                        a = max(0, p - margin)
-                        rs.append(x["hash"]), ids.append(doc), starts.append(a), texts.append(text[a : p + LEAST]), checks.append(0)
+                        rs.append(x["hash"]), ids.append(doc), starts.append(a), texts.append(text[a : last + LEAST]), checks.append(0)
                 if windows:
                     pts = _points(text)
                     if len(pts) + 1 > powers.shape[1]:
@@ -218,7 +220,7 @@ def shared_passages(documents: DataFrame) -> DataFrame:
     rows = _anchor_rows(docs)
     met = (rows.groupBy("hash").agg(F.min("doc_id").alias("r"), F.max("doc_id").alias("other"), F.count("*").alias("n"))
            .where("r < other").select("hash", (F.col("n") > HOT).alias("hot")))
-    cut = _cut(docs, _salted(rows, met).select("doc_id", "pos", "hash", "hot"))
+    cut = _cut(docs, _salted(rows, met).select("doc_id", "run", "hash", "hot"))
     # 128 bits name a stretch
     named = cut.withColumns({"k1": F.when(F.col("text").isNull(), F.col("check")).otherwise(F.xxhash64("text")), "k2": F.coalesce(F.shiftleft(F.hash("text").cast("long"), 32) + F.crc32(F.encode("text", "UTF-8")), F.lit(0))})
     stretches = (named.groupBy("r", "k1", "k2").agg(F.first("text").alias("text"), F.min("doc_id").alias("owner"), (F.min("doc_id") < F.max("doc_id")).alias("multi"))
